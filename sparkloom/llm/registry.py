@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from sparkloom.llm import quality_rules
+from sparkloom.llm.quality_rules import op8_quality_rules
 from sparkloom.llm.sharding import op7_sharding
 
 
 def queries() -> dict:
-    return {"op7_sharding": op7_sharding}
+    return {
+        "op7_sharding": op7_sharding,
+        "op8_quality_rules": op8_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_quality_rules": quality_rules.ORACLE_SQL}
