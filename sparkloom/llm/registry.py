@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import quality_rules
+from sparkloom.llm import exact_dedup, quality_rules
+from sparkloom.llm.exact_dedup import op3_exact_dedup
 from sparkloom.llm.quality_rules import op8_quality_rules
 from sparkloom.llm.sharding import op7_sharding
 
 
 def queries() -> dict:
     return {
+        "op3_exact_dedup": op3_exact_dedup,
         "op7_sharding": op7_sharding,
         "op8_quality_rules": op8_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op3_exact_dedup": exact_dedup.ORACLE_SQL, "op8_quality_rules": quality_rules.ORACLE_SQL}
