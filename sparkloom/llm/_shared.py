@@ -94,3 +94,18 @@ def numbered(df: DataFrame, group: str, order: list[str], weight: str | None, ou
     joined = dealt.join(offsets, dealt[group].eqNullSafe(F.col("_g")) & (F.col("_pid") == F.col("_p")), "left")
     made = [F.col(c) for c in schema.names] + [(F.col("_own") + F.col("_before")).alias(out)]
     return joined.select(*made, *([F.col("_total").alias(total)] if total else []))
+
+
+def rows_named(df: DataFrame, stays: DataFrame, sha) -> DataFrame:
+    """The rows of df whose (doc_id, `sha`) is among the rows (_id, _sha) of `stays`, one row of each such pair, with df's columns.
+
+    `stays` must be a written table without repeats that says in _n how many rows of df share the
+    pair, so that rows without a twin - as a rule all - pass by a join alone.
+    """
+    named = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col("doc_id").alias("_d"), sha.alias("_s"))
+    met = named.join(stays, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_s") == F.col("_sha")))
+    once = met.where("_n = 1").select("_row")
+    if not stays.where("_n > 1").isEmpty():
+        # repeated rows: equal id and equal text; any one of them
+        once = once.unionByName(met.where("_n > 1").groupBy("_d", "_s").agg(F.first("_row").alias("_row")).select("_row"))
+    return once.select("_row.*")

@@ -6,6 +6,7 @@ from sparkloom.llm import exact_dedup, quality_rules
 from sparkloom.llm.exact_dedup import op3_exact_dedup
 from sparkloom.llm.quality_rules import op8_quality_rules
 from sparkloom.llm.sharding import op7_sharding
+from sparkloom.llm.simhash import op9_simhash
 
 
 def queries() -> dict:
@@ -13,6 +14,7 @@ def queries() -> dict:
         "op3_exact_dedup": op3_exact_dedup,
         "op7_sharding": op7_sharding,
         "op8_quality_rules": op8_quality_rules,
+        "op9_simhash": op9_simhash,
     }
 
 
