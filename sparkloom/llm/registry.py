@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sparkloom.llm import exact_dedup, quality_rules
+from sparkloom.llm.bpe import op2_bpe
 from sparkloom.llm.exact_dedup import op3_exact_dedup
 from sparkloom.llm.quality_rules import op8_quality_rules
 from sparkloom.llm.sharding import op7_sharding
@@ -11,6 +12,7 @@ from sparkloom.llm.simhash import op9_simhash
 
 def queries() -> dict:
     return {
+        "op2_bpe": op2_bpe,
         "op3_exact_dedup": op3_exact_dedup,
         "op7_sharding": op7_sharding,
         "op8_quality_rules": op8_quality_rules,
