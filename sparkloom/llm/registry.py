@@ -6,12 +6,14 @@ from sparkloom.llm import exact_dedup, quality_rules
 from sparkloom.llm.bpe import op2_bpe
 from sparkloom.llm.exact_dedup import op3_exact_dedup
 from sparkloom.llm.quality_rules import op8_quality_rules
+from sparkloom.llm.records import op1_token_records
 from sparkloom.llm.sharding import op7_sharding
 from sparkloom.llm.simhash import op9_simhash
 
 
 def queries() -> dict:
     return {
+        "op1_token_records": op1_token_records,
         "op2_bpe": op2_bpe,
         "op3_exact_dedup": op3_exact_dedup,
         "op7_sharding": op7_sharding,
