@@ -5,6 +5,7 @@ from __future__ import annotations
 from sparkloom.llm import exact_dedup, quality_rules
 from sparkloom.llm.bpe import op2_bpe
 from sparkloom.llm.exact_dedup import op3_exact_dedup
+from sparkloom.llm.mixing import op6_mixing
 from sparkloom.llm.quality_rules import op8_quality_rules
 from sparkloom.llm.records import op1_token_records
 from sparkloom.llm.sharding import op7_sharding
@@ -16,6 +17,7 @@ def queries() -> dict:
         "op1_token_records": op1_token_records,
         "op2_bpe": op2_bpe,
         "op3_exact_dedup": op3_exact_dedup,
+        "op6_mixing": op6_mixing,
         "op7_sharding": op7_sharding,
         "op8_quality_rules": op8_quality_rules,
         "op9_simhash": op9_simhash,
