@@ -165,7 +165,7 @@ def mixed(df: DataFrame, text: str = "text", weights: tuple[float, ...] = WEIGHT
     taken = written(_taken(laid, sources, slots, block), "taken")
     ranked = laid.where("size > 0").join(F.broadcast(sources.select("rank", F.col("source").alias("_s"))), F.col("source").eqNullSafe(F.col("_s")))
     met = ranked.join(taken.select(F.col("rank").alias("_r"), F.col("start").alias("_st"), "drawn"), (F.col("rank") == F.col("_r")) & (F.col("start") == F.col("_st")))
-    where = df.columns.index(text)
+    columns, where = df.columns, df.columns.index(text)
 
     def cut(batches):
         import pyarrow as pa
@@ -195,10 +195,10 @@ def mixed(df: DataFrame, text: str = "text", weights: tuple[float, ...] = WEIGHT
                             out.append("\n".join(body[spans[a][0] : spans[z - 1][1]] for a, z in runs))
                 cols = [row.field(k).take(pa.array(index, pa.int64())) for k in range(row.type.num_fields)]
                 cols[where] = pa.array(out, pa.string())
-                if "n_chars" in df.columns:
-                    k = df.columns.index("n_chars")
+                if "n_chars" in columns:
+                    k = columns.index("n_chars")
                     cols[k] = pa.array([len(x) for x in out], cols[k].type)
-                yield pa.RecordBatch.from_arrays(cols, names=df.columns)
+                yield pa.RecordBatch.from_arrays(cols, names=columns)
 
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
     return met.select("_row", "start", "size", "drawn").mapInArrow(cut, schema)
