@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm._shared import written
+from sparkloom.llm._shared import rows_named, written
 
 BLOCK_BYTES = 4096
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -31,11 +31,10 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(body) == F.length(body), F.lower(body)).otherwise(F.translate(body, UPPER, LOWER))
 
 
-def _blocks(body: Column, size: int) -> Column:
-    """The text's bytes in blocks; an empty text is one empty block."""
-    raw = F.encode(body, "UTF-8")
-    last = F.greatest(F.ceil(F.octet_length(body) / size), F.lit(1)).cast("int") - 1
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(raw, i * size + 1, F.lit(size)))
+def _blocks(size: int) -> Column:
+    """The column raw in blocks; an empty text is one empty block."""
+    last = F.greatest(F.ceil(F.octet_length("raw") / size), F.lit(1)).cast("int") - 1
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("raw"), i * size + 1, F.lit(size)))
 
 
 def _key(block: Column, salt: int, bits: int) -> list[Column]:
@@ -49,14 +48,14 @@ def _names(distinct: DataFrame, label: str) -> DataFrame:
     return written(distinct.sortWithinPartitions(*distinct.columns).withColumn("name", F.monotonically_increasing_id()), label)
 
 
-def _level0(df: DataFrame, body: Column, size: int, bits: int) -> tuple[DataFrame, DataFrame]:
+def _level0(df: DataFrame, size: int, bits: int) -> tuple[DataFrame, DataFrame]:
     """Rows (uid, doc_id, text_sha256, keys) and names (h1, h2, name), with a salt under which no two different blocks share a key."""
     for salt in range(1, 64):
-        pieces = df.select(F.explode(_blocks(body, size)).alias("block")).withColumns(dict(zip(("h1", "h2"), _key(F.col("block"), salt, bits), strict=True)))
+        pieces = df.select(F.explode(_blocks(size)).alias("block")).withColumns(dict(zip(("h1", "h2"), _key(F.col("block"), salt, bits), strict=True)))
         names = _names_of_blocks(pieces.groupBy("h1", "h2", "block").agg(F.lit(1)))
         if names.groupBy("h1", "h2").count().where("count > 1").isEmpty():
-            keys = F.transform(_blocks(body, size), lambda b: F.struct(*[k.alias(f"h{i}") for i, k in enumerate(_key(b, salt, bits), 1)]))
-            rows = df.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id"), F.sha2(body, 256).alias("text_sha256"), keys.alias("keys"))
+            keys = F.transform(_blocks(size), lambda b: F.struct(*[k.alias(f"h{i}") for i, k in enumerate(_key(b, salt, bits), 1)]))
+            rows = df.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id"), F.sha2("raw", 256).alias("text_sha256"), keys.alias("keys"))
             return written(rows, "rows"), names
         bits = 64
     raise RuntimeError("no key without clashes found")
@@ -70,8 +69,9 @@ def _names_of_blocks(distinct: DataFrame) -> DataFrame:
 
 def identities(df: DataFrame, text: str = "text", size: int = BLOCK_BYTES, bits: int = 64) -> DataFrame:
     """One row per row of df: uid, doc_id, text_sha256, level, name. Rows agree in (level, name) exactly if their texts do."""
-    body = ascii_lower(F.col(text))
-    rows, names = _level0(df, body, size, bits)
+    # a column of its own, so that it is computed once a row and not once a block
+    lowered = df.select("doc_id", ascii_lower(F.col(text)).alias("body")).withColumn("raw", F.encode("body", "UTF-8"))
+    rows, names = _level0(lowered, size, bits)
     exploded = rows.select("uid", F.size("keys").alias("n"), F.posexplode("keys").alias("at", "k")).select("uid", "n", "at", F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2"))
     now = written(exploded.join(names, ["h1", "h2"]).select("uid", "n", "at", "name"), "level0")
     longest = rows.agg(F.max(F.size("keys")).alias("n")).first()["n"] or 1
@@ -106,13 +106,7 @@ def drop_copies(df: DataFrame, text: str = "text") -> DataFrame:
     found = written(exact_classes(df, text), "exact")
     per = found.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("_n"), F.max("kept").alias("_kept"))
     stays = written(per.where("_kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "_n"), "stays")
-    named = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col("doc_id").alias("_d"), F.sha2(ascii_lower(F.col(text)), 256).alias("_s"))
-    met = named.join(stays, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_s") == F.col("_sha")))
-    once = met.where("_n = 1").select("_row")
-    if not stays.where("_n > 1").isEmpty():
-        # repeated rows: equal id and equal text; any one of them
-        once = once.unionByName(met.where("_n > 1").groupBy("_d", "_s").agg(F.first("_row").alias("_row")).select("_row"))
-    return once.select("_row.*")
+    return rows_named(df, stays, F.sha2(ascii_lower(F.col(text)), 256))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
