@@ -7,6 +7,7 @@ from sparkloom.llm.bpe import op2_bpe
 from sparkloom.llm.exact_dedup import op3_exact_dedup
 from sparkloom.llm.mixing import op6_mixing
 from sparkloom.llm.quality_rules import op8_quality_rules
+from sparkloom.llm.ranking import op5_ranking
 from sparkloom.llm.records import op1_token_records
 from sparkloom.llm.sharding import op7_sharding
 from sparkloom.llm.simhash import op9_simhash
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op2_bpe": op2_bpe,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_warc": op4_warc,
+        "op5_ranking": op5_ranking,
         "op6_mixing": op6_mixing,
         "op7_sharding": op7_sharding,
         "op8_quality_rules": op8_quality_rules,
