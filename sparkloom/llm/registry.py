@@ -6,6 +6,7 @@ from sparkloom.llm import exact_dedup, quality_rules, warc
 from sparkloom.llm.bpe import op2_bpe
 from sparkloom.llm.exact_dedup import op3_exact_dedup
 from sparkloom.llm.mixing import op6_mixing
+from sparkloom.llm.pii import op10_pii
 from sparkloom.llm.quality_rules import op8_quality_rules
 from sparkloom.llm.ranking import op5_ranking
 from sparkloom.llm.records import op1_token_records
@@ -25,6 +26,7 @@ def queries() -> dict:
         "op7_sharding": op7_sharding,
         "op8_quality_rules": op8_quality_rules,
         "op9_simhash": op9_simhash,
+        "op10_pii": op10_pii,
     }
 
 

@@ -1,0 +1,128 @@
+import hashlib
+import itertools
+import math
+import random
+import re
+from collections import defaultdict
+
+from sparkloom.llm.pii import KINDS, _islands, _scored, _sentence, base_spans, candidates, decode, find, joined, likelihood_step, luhn, op10_pii, redact, spans_of, weights
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def slow(text):
+    """The base patterns as they are written."""
+    out = []
+    for i, (kind, pattern) in enumerate(PATTERNS.items()):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")) or kind == "card" and not (12 <= len(digits) <= 19 and luhn(digits)) or kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out.append((m.start(), i, m.end()))
+    return [(KINDS[i], a, b) for a, i, b in sorted(out)]
+
+
+def test_base_equals_the_patterns():
+    rng = random.Random(1)
+    for letters in ("a@.b-", "0123.5", "01 2-3456789", "+(1) 23.456-", "a1@.+ (2)-é٣"):
+        for _ in range(3000):
+            text = "".join(rng.choice(letters) for _ in range(rng.randrange(50)))
+            assert base_spans(text) == slow(text), text
+    assert luhn("4111111111111111") and not luhn("4111111111111112")
+
+
+def test_long_texts_take_linear_time():
+    for unit in ("1", "a", "1.", "+1 ", "1 ", "a@", "@", "a.b@"):
+        spans_of(unit * 40_000, weights())
+
+
+def every_segmentation(segments):
+    """All sets of segments that do not overlap."""
+    for n in range(len(segments) + 1):
+        for chosen in itertools.combinations(segments, n):
+            ordered = sorted(chosen, key=lambda s: s[0])
+            if all(x[1] <= y[0] for x, y in zip(ordered, ordered[1:])):
+                yield ordered
+
+
+def score(ordered, w, margin):
+    total, label, end = 0.0, "none", None
+    for a, b, k, value, _ in ordered:
+        total += value - margin + w.get(f"{label if end == a else 'none'}>{k}", 0.0)
+        label, end = k, b
+    return total
+
+
+def test_field_equals_brute_force():
+    rng, w, tried = random.Random(2), weights(), 0
+    while tried < 60:
+        text, gold = _sentence(rng)
+        for island in _islands(candidates(text, base_spans(text))):
+            segments = _scored(island, w)
+            if len(segments) > 12:
+                continue
+            tried += 1
+            ways = list(every_segmentation(segments))
+            best = max(score(x, w, 2.0) for x in ways)
+            got = {(k, a, b) for k, a, b in decode(island, w)}
+            assert math.isclose(best, score([s for s in segments if (s[2], s[0], s[1]) in got], w, 2.0), abs_tol=1e-9)
+            z = math.log(sum(math.exp(score(x, w, 0.0)) for x in ways))
+            right = [s for s in segments if (s[2], s[0], s[1]) in set(gold)]
+            assert math.isclose(likelihood_step(island, set(gold), w, defaultdict(float)), score(sorted(right), w, 0.0) - z, abs_tol=1e-6)
+
+
+def test_gradient_is_that_of_the_likelihood():
+    rng, w, n = random.Random(3), dict(weights()), 0
+    while n < 5:
+        text, gold = _sentence(rng)
+        for island in _islands(candidates(text, base_spans(text)))[:1]:
+            n += 1
+            g = defaultdict(float)
+            likelihood_step(island, set(gold), w, g)
+            for f in sorted(g)[:12]:
+                up, down = w | {f: w.get(f, 0.0) + 1e-4}, w | {f: w.get(f, 0.0) - 1e-4}
+                slope = (likelihood_step(island, set(gold), up, defaultdict(float)) - likelihood_step(island, set(gold), down, defaultdict(float))) / 2e-4
+                assert math.isclose(slope, g[f], abs_tol=1e-3)
+
+
+def test_held_out_sentences():
+    rng, w = random.Random(99), weights()
+    right = made = wanted = 0
+    for _ in range(600):
+        text, gold = _sentence(rng)
+        base, every = spans_of(text, w)
+        added = set(every) - set(base)
+        right, made, wanted = right + len(added & set(gold)), made + len(added), wanted + len(gold)
+    assert right > 0.95 * made and right > 0.85 * wanted
+
+
+def test_plain_cases():
+    w = weights()
+    for text, want in (("call (743) 555-3824 now", ["phone:5:19"]), ("joe [at] mail [dot] com", ["email:0:23"]), ("host 10[.]0[.]0[.]7 up", ["ip:5:19"]), ("on 2024-05-06 we sold 1234 of 99", []), ("no numbers at all", []), ("", [])):
+        assert joined(spans_of(text, w)[1]).split(",") == (want or [""])
+
+
+def test_in_spark(spark):
+    rows = [(1, "a.b@c.de and 4111 1111 1111 1111", 5), (1, "a.b@c.de and 4111 1111 1111 1111", 5), (2, None, 6), (None, "é 10.0.0.1 +1 (743) 555-3824", 7), (3, "", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans int")
+    got = find(df).collect()
+    assert len(got) == 5 and {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in got} == {i: slow(t or "") for i, t, _ in rows}
+    assert [r["text"] for r in redact(df).collect()] == ["<email> and <card>"] * 2 + [None, "é <ip> <phone>", ""]
+    assert redact(df).columns == df.columns
+    assert find(df.limit(0)).count() == 0
+
+
+def test_query(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = op10_pii(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(docs)
+    for r in got:
+        want = slow(docs[r["doc_id"]] or "")
+        assert [r[f"n_{k}"] for k in KINDS] == [sum(s[0] == k for s in want) for k in KINDS]
+        assert r["base_sha256"] == hashlib.sha256(joined(want).encode()).hexdigest()
+        assert set(joined(want).split(",")) <= set(r["spans"].split(","))
