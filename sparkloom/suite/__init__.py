@@ -33,6 +33,6 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> tuple[dict, dict]:
-    from sparkloom.suite import relational, scalars, tables  # noqa: F401
+    from sparkloom.suite import relational, scalars, sources, tables  # noqa: F401
 
     return QUERIES, SQL
