@@ -322,20 +322,33 @@ def graphcliques(edges: DataFrame, a: str, b: str) -> DataFrame:
     def run(key, part):
         import pandas as pd
 
-        x, near = key[0], {}
+        x, names = key[0], sorted({*part["p"], *part["q"]})
+        # sets of neighbours as bits of an integer
+        place, near = {n: i for i, n in enumerate(names)}, [0] * len(names)
         for p, q in zip(part["p"], part["q"], strict=True):
-            near.setdefault(p, set()).add(q)
-            near.setdefault(q, set()).add(p)
+            near[place[p]] |= 1 << place[q]
+            near[place[q]] |= 1 << place[p]
+
+        def bits(s: int):
+            while s:
+                low = s & -s
+                yield low.bit_length() - 1
+                s ^= low
+
         found: list[list[str]] = []
-        stack = [(frozenset(), {n for n in near if n > x}, {n for n in near if n < x})]
+        smaller = sum(1 << i for i, n in enumerate(names) if n < x)
+        stack = [(0, ((1 << len(names)) - 1) ^ smaller, smaller)]
         while stack:
             chosen, able, done = stack.pop()
-            if not able and not done and len(chosen) > 1:
-                found.append(sorted([x, *chosen]))
-            pivot = max(able | done, key=lambda n: len(near[n] & able), default=None)
-            for n in sorted(able - near[pivot] if pivot is not None else able):
-                stack.append((chosen | {n}, able & near[n], done & near[n]))
-                able, done = able - {n}, done | {n}
+            if not able:
+                if not done and chosen.bit_count() > 1:
+                    found.append(sorted([x, *[names[i] for i in bits(chosen)]]))
+                continue
+            pivot = max(bits(able | done), key=lambda n: (near[n] & able).bit_count())
+            for n in bits(able & ~near[pivot]):
+                one = 1 << n
+                stack.append((chosen | one, able & near[n], done & near[n]))
+                able, done = able ^ one, done | one
         return pd.DataFrame({"members": pd.Series(found, dtype=object)})
 
     cliques = inner.groupBy("x").applyInPandas(run, "members array<string>")

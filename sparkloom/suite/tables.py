@@ -153,10 +153,9 @@ def _(t):
 
 @query("graph_cliques")
 def _(t):
-    lines = t("lineitem").select("l_orderkey", "l_suppkey")
-    edges = lines.alias("a").join(lines.alias("b"), "l_orderkey").where("a.l_suppkey < b.l_suppkey").select(F.col("a.l_suppkey").alias("a"), F.col("b.l_suppkey").alias("b"))
-    frequent = edges.groupBy("a", "b").count().where("count >= 4")
-    return R.graphcliques(frequent, "a", "b")
+    lines = t("lineitem").select("l_orderkey", "l_partkey").distinct()
+    pairs = lines.alias("a").join(lines.alias("b"), "l_orderkey").where("a.l_partkey < b.l_partkey")
+    return R.graphcliques(pairs.select(F.col("a.l_partkey").alias("a"), F.col("b.l_partkey").alias("b")), "a", "b")
 
 
 @query("graph_powerhash")

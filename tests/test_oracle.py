@@ -1,12 +1,14 @@
 """Every query with SQL gives what DuckDB gives; every other one runs."""
 
+import os
+
 import duckdb
 import pandas as pd
 import pytest
 
 from sparkloom.suite import load
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES, SQL = load()
 
