@@ -297,7 +297,8 @@ def freqitemsets(df: DataFrame, row: str, item: str, threshold: int, maxlen: int
 def _checkpoint_dir(spark: SparkSession) -> None:
     """The session's own setting, else - in a local session - a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not named and master != "local" and not master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     if not named:
         import tempfile
