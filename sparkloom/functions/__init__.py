@@ -1 +1 @@
-"""Part of sparkloom."""
+"""Functions of values."""
