@@ -87,6 +87,12 @@ def _(t):
     return t("documents").where(short).select("doc_id", X.textreferences("text").alias("kept"))
 
 
+# Every document, those with lists of references too; SQL cannot say the windows, tests/test_whole.py has brute force.
+@query("txt_references_all")
+def _(t):
+    return t("documents").select("doc_id", X.textreferences("text").alias("kept"))
+
+
 @query("lang_stem")
 def _(t):
     return t("benchmark").select("item_id", V.stem("text").alias("s"))
