@@ -16,6 +16,14 @@ def _(t):
     return d.select("doc_id", X.kwnum("text").alias("kwnum"), X.kwnum(X.uniqueterms("text")).alias("n_unique"), F.md5(X.keywords("text")).alias("keywords_md5"))
 
 
+# Every document: DuckDB's \b and classes are ASCII, so tests/test_whole.py has brute force. NULL texts give NULLs, texts without terms 0 unique ones.
+@query("txt_terms_all")
+def _(t):
+    terms, known = X.uniqueterms("text"), F.col("text").isNotNull()
+    n_unique = F.when(terms == "", F.lit(0).cast("long")).otherwise(X.kwnum(terms))
+    return t("documents").select("doc_id", X.kwnum("text").alias("kwnum"), F.when(known, n_unique).alias("n_unique"), F.when(known, F.md5(X.keywords("text"))).alias("keywords_md5"))
+
+
 @query("txt_spaces", r"""SELECT item_id, regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') AS comprspaces, replace(replace(text, chr(10), '\x0a'), chr(13), '\x0d') AS escaped, regexp_replace(text, '^[\s.]+|[\s.]+$', '', 'g') AS stripped FROM benchmark""")
 def _(t):
     return t("benchmark").select("item_id", X.comprspaces("text").alias("comprspaces"), X.escapechars("text").alias("escaped"), X.stripchars("text", " .\n\t").alias("stripped"))

@@ -1,5 +1,6 @@
 """Registered queries over whole tables, compared with brute force on small ones."""
 
+import hashlib
 import re
 
 from sparkloom.suite import load
@@ -34,3 +35,16 @@ def test_references_of_long_documents(spark, tmp_path):
     got = run(spark, tmp_path, "txt_references_all", "documents", list(enumerate(texts)), "doc_id long, text string")
     assert got == {i: (references(x),) for i, x in enumerate(texts)}
     assert "2014" in got[4][0] and "line number 3" not in got[4][0]
+
+
+def terms(text):
+    if text is None:
+        return None, None, None
+    words = [x for x in re.findall(r"[\d.]+\b|\w+|\$[\d.]+", text) if x != "."]
+    return len(text.split(" ")), len(set(text.split(" ")) - {""}), hashlib.md5(" ".join(words).encode()).hexdigest()
+
+
+def test_terms_of_any_text(spark, tmp_path):
+    texts = ["plain a plain", None, "", "   ", "café naïve café", "πρωτο δευτερο τέταρτο 3.5", "x . $5 b.c 1.5é", "日本語 テキスト", "Straße_9 “quoted” — dash", "ü\nä ü"]
+    got = run(spark, tmp_path, "txt_terms_all", "documents", list(enumerate(texts)), "doc_id long, text string")
+    assert got == {i: terms(x) for i, x in enumerate(texts)}
