@@ -7,6 +7,7 @@ rows are cut by a ranking that Spark applies before the shuffle too, and everyth
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -271,8 +272,8 @@ def range_join(points: DataFrame, point: str, intervals: DataFrame, low: str, hi
     return met.where((F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))).drop("_bucket")
 
 
-def freqitemsets(df: DataFrame, row: str, item: str, threshold: int, maxlen: int = 3) -> DataFrame:
-    """(items, itemset_length, itemset_frequency): sets of items that share at least `threshold` rows, level by level.
+def freqitemsets(df: DataFrame, row: str, item: str, threshold: int, maxlen: int | None = None) -> DataFrame:
+    """(items, itemset_length, itemset_frequency): sets of items that share at least `threshold` rows, level by level up to `maxlen`, without one to the longest.
 
     Level l extends the frequent sets of level l - 1 by a larger frequent item of the same row and
     counts those whose last pair is frequent too; each level is written to storage by checkpoint().
@@ -284,7 +285,7 @@ def freqitemsets(df: DataFrame, row: str, item: str, threshold: int, maxlen: int
     rows = rows.join(single.select("item"), "item").checkpoint()
     level = rows.select("row", F.array("item").alias("items"), F.col("item").alias("last"))
     out = [single.select(F.array("item").alias("items"), F.lit(1).alias("itemset_length"), F.col("n").alias("itemset_frequency"))]
-    for size in range(2, maxlen + 1):
+    for size in count(2) if maxlen is None else range(2, maxlen + 1):
         longer = level.join(rows, "row").where(F.col("item") > F.col("last")).select("row", F.concat("items", F.array("item")).alias("items"), F.col("item").alias("last"))
         counted = longer.groupBy("items").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= threshold)
         level = longer.join(counted.select("items"), "items").checkpoint()

@@ -44,7 +44,7 @@ OPERATORS: dict[str, Callable[..., DataFrame]] = {
     "groupdiff": lambda df, key, order, by="", keep="": R.groupdiff(df, _names(by), key, _names(order), _names(keep)),
     "datediffbreak": lambda df, group, ts, maxdiff: R.datediffbreak(df, group, ts, float(maxdiff)),
     "datedifffilter": lambda df, by, ts, maxdiff: R.datedifffilter(df, _names(by), ts, float(maxdiff)),
-    "freqitemsets": lambda df, row, item, threshold, maxlen="3": R.freqitemsets(df, row, item, int(threshold), int(maxlen)),
+    "freqitemsets": lambda df, row, item, threshold, maxlen=None: R.freqitemsets(df, row, item, int(threshold), None if maxlen is None else int(maxlen)),
     "graphcliques": lambda df, a, b: R.graphcliques(df, a, b),
 }
 

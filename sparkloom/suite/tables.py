@@ -151,6 +151,14 @@ def _(t):
     return got.select(F.array_join("items", "|").alias("items"), "itemset_length", "itemset_frequency")
 
 
+@query("mine_freqitemsets_all", """WITH RECURSIVE r AS (SELECT DISTINCT l_orderkey AS o, CAST(l_suppkey AS VARCHAR) AS i FROM lineitem),
+s AS (SELECT o, i AS items, i AS last, 1 AS n FROM r UNION ALL SELECT s.o, s.items || '|' || r.i, r.i, s.n + 1 FROM s JOIN r ON s.o = r.o AND s.last < r.i)
+SELECT items, n AS itemset_length, count(*) AS itemset_frequency FROM s GROUP BY items, n HAVING count(*) >= 4""")
+def _(t):
+    got = R.freqitemsets(t("lineitem"), "l_orderkey", "l_suppkey", 4)
+    return got.select(F.array_join("items", "|").alias("items"), "itemset_length", "itemset_frequency")
+
+
 @query("graph_cliques")
 def _(t):
     lines = t("lineitem").select("l_orderkey", "l_partkey").distinct()

@@ -2,7 +2,11 @@
 
 import hashlib
 import re
+from collections import Counter
+from itertools import combinations
 
+from sparkloom.operators import tables as R
+from sparkloom.plans import dialect
 from sparkloom.suite import load
 
 QUERIES, SQL = load()
@@ -48,3 +52,18 @@ def test_terms_of_any_text(spark, tmp_path):
     texts = ["plain a plain", None, "", "   ", "café naïve café", "πρωτο δευτερο τέταρτο 3.5", "x . $5 b.c 1.5é", "日本語 テキスト", "Straße_9 “quoted” — dash", "ü\nä ü"]
     got = run(spark, tmp_path, "txt_terms_all", "documents", list(enumerate(texts)), "doc_id long, text string")
     assert got == {i: terms(x) for i, x in enumerate(texts)}
+
+
+def test_itemsets_of_any_length(spark, tmp_path):
+    baskets = [(o, i) for o in range(5) for i in range(1, 7)] + [(o, i) for o in range(5, 9) for i in (2, 4, 30 + o)]
+    rows = {o: sorted({str(i) for x, i in baskets if x == o}) for o, _ in baskets}
+    every = Counter(c for r in rows.values() for k in range(1, len(r) + 1) for c in combinations(r, k))
+    want = {c: n for c, n in every.items() if n >= 4}
+    assert max(map(len, want)) == 6
+    df = spark.createDataFrame(baskets, "o int, i int")
+    df.createOrReplaceTempView("baskets")
+    for made in (R.freqitemsets(df, "o", "i", 4), dialect.run(spark, "freqitemsets o i 4 SELECT * FROM baskets")):
+        assert {tuple(x["items"]): x["itemset_frequency"] for x in made.collect()} == want
+    assert max(x["itemset_length"] for x in dialect.run(spark, "freqitemsets o i 4 2 SELECT * FROM baskets").collect()) == 2
+    got = run(spark, tmp_path, "mine_freqitemsets_all", "lineitem", baskets, "l_orderkey int, l_suppkey int")
+    assert got == {"|".join(c): (len(c), n) for c, n in want.items()}
