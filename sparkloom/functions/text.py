@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 # Field names of the query language that cqlkeywords and cqlfields know.
 CQL_FIELDS = ("title", "subject", "person", "enter", "creator", "isbn")
 #: Years, as textreferences counts them.
-YEAR = r"(\b|_)((18|19)\d{2}|20[01]\d)(\b|_)"
+YEAR = r"(\b|_)(1[5-9]\d{2}|20\d{2})(\b|_)"
 
 
 def col(x: Column | str) -> Column:

@@ -25,7 +25,7 @@ def references(text):
     if text.count("\n") < 10:
         return text
     lines = [x for x in text.split("\n")[10:] if len(x) > 10][::-1]
-    year = [bool(re.search(r"(?:\b|_)(?:1[89]\d\d|20[01]\d)(?:\b|_)", x)) for x in lines]
+    year = [bool(re.search(r"(?:\b|_)(?:1[5-9]\d\d|20\d\d)(?:\b|_)", x)) for x in lines]
     near = [sum(True if j < 0 else year[j] if j < len(year) else False for j in range(i - 2, i + 3)) / 5 for i in range(len(year))]
     return "\n".join([x for x, n in zip(lines, near, strict=True) if n >= sum(near) / len(near)][::-1])
 
@@ -41,6 +41,13 @@ def test_references_of_long_documents(spark, tmp_path):
     assert "2014" in got[4][0] and "line number 3" not in got[4][0]
 
 
+def test_references_of_all_years(spark, tmp_path):
+    texts = [listing(2023, 1750, 2099, 1500, 2020), listing(1499, 2100, 1499, 2100, 1499), listing(1750, 1914, 2023)]
+    got = run(spark, tmp_path, "txt_references_all", "documents", list(enumerate(texts)), "doc_id long, text string")
+    assert got == {i: (references(x),) for i, x in enumerate(texts)}
+    assert [got[0][0].count(f" {y},") for y in (2023, 1750, 2099, 1500, 2020)] == [1] * 5 and "line number 12" not in got[0][0]
+
+
 def terms(text):
     if text is None:
         return None, None, None
