@@ -2,6 +2,7 @@
 
 import uuid
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from sparkloom.operators.tables import _checkpoint_dir
@@ -81,20 +82,21 @@ def _(t):
 
 
 def vectors(t):
-    return t("embeddings").select("vec_id", F.col("label").cast("int").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(8)])
+    """The whole embedding as one vector, with its label."""
+    return t("embeddings").select("vec_id", F.col("label").cast("int").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("f"))
 
 
 @query("ml_cluster")
 def _(t):
-    return models.skcluster(vectors(t), "vec_id", [f"f{i}" for i in range(8)], "KMeans", k=4, seed=1)
+    return models.skcluster(vectors(t), "vec_id", ["f"], "KMeans", k=4, seed=1)
 
 
 @query("ml_reduce")
 def _(t):
-    return models.skdimred(vectors(t), "vec_id", [f"f{i}" for i in range(8)], 2)
+    return models.skdimred(vectors(t), "vec_id", ["f"], 2)
 
 
 @query("ml_train_predict")
 def _(t):
     v = vectors(t).withColumn("label", F.col("label") % 2)
-    return models.sktrain(v, place(t, "model"), "LogisticRegression", "vec_id", "label", [f"f{i}" for i in range(8)], 1)
+    return models.sktrain(v, place(t, "model"), "LogisticRegression", "vec_id", "label", ["f"], 1)

@@ -74,3 +74,13 @@ def test_itemsets_of_any_length(spark, tmp_path):
     assert max(x["itemset_length"] for x in dialect.run(spark, "freqitemsets o i 4 2 SELECT * FROM baskets").collect()) == 2
     got = run(spark, tmp_path, "mine_freqitemsets_all", "lineitem", baskets, "l_orderkey int, l_suppkey int")
     assert got == {"|".join(c): (len(c), n) for c, n in want.items()}
+
+
+def test_models_see_the_whole_embedding(spark, tmp_path):
+    # alike in dimensions 0-7; dimensions 8-63 tell the four groups, and the two labels
+    rows = [(i, [0.5] * 8 + [float(10 * (i % 4) + i // 4 / 100)] * 28 + [float(i % 2)] * 28, i % 2) for i in range(40)]
+    made = {name: run(spark, tmp_path, name, "embeddings", rows, "vec_id long, embedding array<float>, label int") for name in ("ml_cluster", "ml_reduce", "ml_train_predict")}
+    assert all(sorted(m) == list(range(40)) for m in made.values())
+    assert len({made["ml_cluster"][i] for i in range(4)}) == 4 and all(made["ml_cluster"][i] == made["ml_cluster"][i % 4] for i in range(40))
+    assert len({round(made["ml_reduce"][i][0], 6) for i in range(40)}) == 40
+    assert all(made["ml_train_predict"][i][0] == i % 2 for i in range(40))
