@@ -239,6 +239,11 @@ def _(t):
     return t("part").where("p_partkey < 500").select("p_partkey", V.sectohuman(F.col("p_partkey") * 7).alias("human"))
 
 
+@query("date_human_all", "WITH s AS (SELECT p_partkey, CAST(p_partkey AS BIGINT) * 7 AS s FROM part) SELECT p_partkey, CASE WHEN s // 86400 > 0 THEN (s // 86400) || CASE WHEN s // 86400 = 1 THEN ' day ' ELSE ' days ' END ELSE '' END || CASE WHEN s % 86400 // 3600 > 0 THEN (s % 86400 // 3600) || CASE WHEN s % 86400 // 3600 = 1 THEN ' hour ' ELSE ' hours ' END ELSE '' END || CASE WHEN s % 3600 // 60 > 0 THEN (s % 3600 // 60) || ' min ' ELSE '' END || CASE WHEN s % 60 > 0 THEN (s % 60) || ' sec' ELSE '' END AS human FROM s")
+def _(t):
+    return t("part").select("p_partkey", V.sectohuman(F.col("p_partkey") * 7).alias("human"))
+
+
 @query("date_weeks", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '2008W53' ELSE '2009W05' END AS w, '2009-01-02T05:30:00+02:00' AS z FROM part")
 def _(t):
     week = F.when(F.col("p_partkey") % 2 == 0, "2009W00").otherwise("2009W05")

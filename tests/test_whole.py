@@ -84,3 +84,17 @@ def test_models_see_the_whole_embedding(spark, tmp_path):
     assert len({made["ml_cluster"][i] for i in range(4)}) == 4 and all(made["ml_cluster"][i] == made["ml_cluster"][i % 4] for i in range(40))
     assert len({round(made["ml_reduce"][i][0], 6) for i in range(40)}) == 40
     assert all(made["ml_train_predict"][i][0] == i % 2 for i in range(40))
+
+
+def human(seconds):
+    (days, rest), text = divmod(seconds, 86400), ""
+    for n, name in ((days, "day"), (rest // 3600, "hour")):
+        text += f"{n} {name}{'s' if n > 1 else ''} " if n else ""
+    return text + (f"{rest % 3600 // 60} min " if rest % 3600 // 60 else "") + (f"{rest % 60} sec" if rest % 60 else "")
+
+
+def test_human_hours_and_days(spark, tmp_path):
+    keys = [0, 1, 499, 500, 515, 3600, 12342, 12343, 12858, 19999, 86400]
+    got = run(spark, tmp_path, "date_human_all", "part", [(k,) for k in keys], "p_partkey long")
+    assert got == {k: (human(k * 7),) for k in keys}
+    assert got[12343] == ("1 day 1 sec",) and got[19999] == ("1 day 14 hours 53 min 13 sec",)
