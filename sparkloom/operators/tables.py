@@ -241,10 +241,10 @@ def range_(spark: SparkSession, start: int, stop: int | None = None, step: int =
     return spark.range(1, start + 1) .toDF("C1") if stop is None else spark.range(start, stop, step).toDF("C1")
 
 
-def whilevt(spark: SparkSession, body, start: int = 0, most: int = 1000) -> DataFrame:
-    """(C1): the counter for as long as body(counter), a DataFrame, has 1 in its first cell."""
+def whilevt(spark: SparkSession, body, start: int = 0, most: int | None = None) -> DataFrame:
+    """(C1): the counter for as long as body(counter), a DataFrame, has 1 in its first cell; with `most` for so many turns at most."""
     out = []
-    for i in range(start, start + most):
+    for i in count(start) if most is None else range(start, start + most):
         row = body(i).first()
         if row is None or row[0] != 1:
             break

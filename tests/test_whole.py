@@ -98,3 +98,21 @@ def test_human_hours_and_days(spark, tmp_path):
     got = run(spark, tmp_path, "date_human_all", "part", [(k,) for k in keys], "p_partkey long")
     assert got == {k: (human(k * 7),) for k in keys}
     assert got[12343] == ("1 day 1 sec",) and got[19999] == ("1 day 14 hours 53 min 13 sec",)
+
+
+class Turn:
+    """Stands for a table of one cell."""
+
+    def __init__(self, value):
+        self.value = value
+
+    def first(self):
+        return (self.value,)
+
+
+def test_whilevt_has_no_bound_of_its_own(spark):
+    def body(i):
+        return Turn(1 if i < 1500 else 0)
+
+    assert [r[0] for r in R.whilevt(spark, body).collect()] == list(range(1500))
+    assert [r[0] for r in R.whilevt(spark, body, 3, 4).collect()] == [3, 4, 5, 6]
