@@ -29,8 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def workplace(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder. What is written there is an intermediate: it goes when the session's JVM ends, where forget() has not removed it before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/sparkloom/{name}-{uuid.uuid4().hex}")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return f"{path.toString()}/data"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -49,13 +53,25 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Ranges of files that are read as one task each; beyond it tasks take several.
+MOST_TASKS = 100_000
+
+
+def ranges_of(manifest: DataFrame, count: str, step: int, keep: list[str]) -> DataFrame:
+    """Rows (*keep, first, n) that cover 0 .. `count` - 1 of every manifest row in steps, spread evenly over tasks; none of them passes the driver."""
+    total = manifest.agg(F.sum(F.ceil(F.col(count) / step))).first()[0] or 1
+    spread = manifest.where(F.col(count) > 0).select(*keep, F.col(count).alias("_c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1, F.lit(step).cast("long"))).alias("first"))
+    return spread.select(*keep, "first", F.least(F.lit(step).cast("long"), F.col("_c") - F.col("first")).alias("n")).repartition(min(int(total), MOST_TASKS))
+
+
 def numbered(df: DataFrame, group: str, order: list[str], weight: str | None, out: str, total: str | None = None) -> DataFrame:
     """Add `out`, the running sum of `weight` (None: 1) over the rows before this one in its `group`, in `order`.
 
     No task holds a whole group: rows are dealt by range over (group, order), each task sums its own
     rows, the sums of the (task, group) pairs - at most tasks + groups of them - become offsets, and
     those come back by a join on both keys. With `total`, the group's sum is added too.
-    Equal rows of `order` get their numbers in any order. The result is read from a written table.
+    Equal rows of `order` get their numbers in any order and are dealt to many tasks, so a value that
+    a third of all rows share fills no task. The result is read from a written table.
     """
     schema = df.schema
     for extra in ("_pid", "_own"):
@@ -83,7 +99,7 @@ def numbered(df: DataFrame, group: str, order: list[str], weight: str | None, ou
     from pyspark.sql import types as T
 
     shaped = T.StructType([*schema.fields, T.StructField("_pid", T.IntegerType()), T.StructField("_own", T.LongType())])
-    dealt = written(df.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(local, shaped), "numbered")
+    dealt = written(df.repartitionByRange(*by, F.rand(1)).sortWithinPartitions(*by).mapInArrow(local, shaped), "numbered")
     step = F.coalesce(F.col(weight), F.lit(0)).cast("long") if weight else F.lit(1).cast("long")
     sums = dealt.groupBy(group, "_pid").agg(F.sum(step).alias("_n"))
     from pyspark.sql import Window

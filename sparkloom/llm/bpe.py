@@ -1,9 +1,11 @@
-"""Operator 2: BPE encoding and decoding, with tree concatenation of long unsplit text.
-
-Text that white space splits is encoded piece by piece in its own task. A text with a run that
-nothing splits and that is longer than a leaf is taken apart: the run's parts become rows, tasks
-encode them in parallel, and the text's group joins them pairwise, level by level, re-encoding a
-growing window around each join until both sides agree (Encoder.join).
+"""Operator 2: BPE encoding and decoding, with tree concatenation of long texts.
+
+A text longer than a leaf is cut; its leaves become rows that any task encodes. Then neighbours are
+joined pairwise, level by level. Cuts lie between pretokens where the text has such a place: there both
+sides agree as they are. Inside a run that nothing splits, a window around the join is encoded again and
+grows until both sides agree (Encoder.join). A round of Spark takes FAN leaves of a text to a task,
+which joins them over four levels of the tree; the next round takes FAN of the results, so the joins of
+one text run in parallel too.
 """
 
 from __future__ import annotations
@@ -13,43 +15,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.encoder import default_path, encoder
+from sparkloom.llm._shared import written
+from sparkloom.llm.encoder import Node, default_path, encoder, joined
 
-#: Characters of a leaf: longer unsplit runs are cut.
-LEAF = 8192
+#: Characters of a leaf, and nodes that a task joins in one round.
+LEAF, FAN = 16_384, 16
+#: Texts that a worker encodes at a time.
+_STEP = 128
 
 
-def encode(df: DataFrame, keep: list[str], text: str = "text", path: str | None = None, leaf: int = LEAF) -> DataFrame:
+def encode(df: DataFrame, keep: list[str], text: str = "text", path: str | None = None, leaf: int = LEAF, fan: int = FAN) -> DataFrame:
     """The columns `keep` of df and `ids`, the text's token ids as little-endian unsigned 32-bit integers; one row per row.
 
     A null text counts as empty and has no ids. Repeated rows stay repeated; an empty table gives an
-    empty one. Names in `keep` that begin with _bpe_ are refused; other columns are not read.
+    empty one. Texts of any length are encoded whole. Columns outside `keep` are not read; those in
+    it may have any name but `ids`.
     """
     path = path or default_path()
-    if any(c.startswith("_bpe_") for c in keep):
-        raise ValueError("names that begin with _bpe_ are reserved")
+    if "ids" in keep:
+        raise ValueError("`ids` names the result")
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    plain = df.select(*[F.col(f"`{c}`") for c in keep], body.alias("_bpe_text"))
-    # a run of more than `leaf` characters of other than white space, or of white space
-    unsplit = (F.length("_bpe_text") > leaf) & F.col("_bpe_text").rlike(f"(?U)[^\\s]{{{leaf + 1}}}|[\\s]{{{leaf + 1}}}")
-    kept = T.StructType([plain.schema[c] for c in keep])
-    schema = T.StructType([*kept.fields, T.StructField("_bpe_ids", T.BinaryType())])
+    plain = df.select(F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("row"), body.alias("text"))
+    row = T.StructType([T.StructField(f.name, f.dataType, True) for f in plain.schema["row"].dataType])
+    schema = T.StructType([T.StructField("row", row), T.StructField("ids", T.BinaryType())])
 
     def direct(batches):
         import pyarrow as pa
 
         own = encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(own.encode(part.column(part.num_columns - 1).to_pylist()), pa.binary())], names=[*keep, "_bpe_ids"])
+            for at in range(0, batch.num_rows, _STEP):
+                part = batch.slice(at, _STEP)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.encode(part.column(1).to_pylist()), pa.binary())], names=["row", "ids"])
+
+    short = plain.where(F.length("text") <= leaf).mapInArrow(direct, schema)
+    every = short.unionByName(_tree(plain.where(F.length("text") > leaf), row, path, leaf, fan))
+    return every.select(*[F.col(f"row.`{c}`") for c in keep], "ids")
 
-    short = plain.where(~unsplit).mapInArrow(direct, schema)
-    return short.unionByName(_encode_long(plain.where(unsplit), keep, kept, path, leaf)).withColumnRenamed("_bpe_ids", "ids")
 
+def _tree(df: DataFrame, row: T.StructType, path: str, leaf: int, fan: int) -> DataFrame:
+    """(row, ids) of long texts. Rows on the way: uid, at (place among the text's n nodes), row (with the first alone), and a leaf's text or a node."""
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-def _encode_long(df: DataFrame, keep: list[str], kept: T.StructType, path: str, leaf: int) -> DataFrame:
-    parts = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in kept.fields], T.StructField("_bpe_uid", T.StringType()), T.StructField("_bpe_part", T.IntegerType()), T.StructField("_bpe_leaf", T.IntegerType()), T.StructField("_bpe_text", T.StringType()), T.StructField("_bpe_ids", T.BinaryType())])
+    place = [T.StructField("uid", T.StringType()), T.StructField("at", T.LongType()), T.StructField("n", T.LongType()), T.StructField("row", row)]
+    cuts = T.StructType([*place, T.StructField("text", T.StringType()), T.StructField("starts", T.BooleanType()), T.StructField("ends", T.BooleanType())])
+    nodes = T.StructType([*place, T.StructField("ids", T.BinaryType()), T.StructField("head", T.LongType()), T.StructField("tail", T.LongType())])
+    cut_schema, node_schema = to_arrow_schema(cuts), to_arrow_schema(nodes)
 
     def cut(batches):
         import hashlib
@@ -59,86 +70,77 @@ def _encode_long(df: DataFrame, keep: list[str], kept: T.StructType, path: str,
 
         own, seen = encoder(path), 0
         for batch in batches:
-            for at in range(batch.num_rows):
-                row = batch.slice(at, 1)
-                text = row.column(row.num_columns - 1)[0].as_py()
-                uid = f"{TaskContext.get().partitionId()}-{seen}-{hashlib.sha256(text.encode()).hexdigest()}"
+            for k in range(batch.num_rows):
+                body = batch.column(1)[k].as_py()
+                uid = f"{TaskContext.get().partitionId()}-{seen}-{hashlib.sha256(body.encode()).hexdigest()}"
                 seen += 1
-                # rows: (part, leaf, text or None, ids or None); part -1 carries the columns to keep
-                rows: list[tuple] = []
-                ready: list[str | int] = []
-
-                def flush():
-                    if ready:
-                        ids = [own.encode([x])[0] if isinstance(x, str) else np.array([x], "<u4").tobytes() for x in ready]
-                        rows.append((len(rows), 0, None, b"".join(ids)))
-                        ready.clear()
-
-                n_parts = 0
-                for unit in own.pretokens(text):
-                    if isinstance(unit, str) and len(unit) > leaf:
-                        flush()
-                        n_parts = rows[-1][0] + 1 if rows else 0
-                        rows += [(n_parts, i // leaf, unit[i : i + leaf], None) for i in range(0, len(unit), leaf)]
-                    else:
-                        ready.append(unit)
-                        if len(ready) >= 4096:
-                            flush()
-                flush()
-                head = pa.RecordBatch.from_arrays([*row.columns[:-1], pa.array([uid]), pa.array([-1], pa.int32()), pa.array([0], pa.int32()), pa.array([None], pa.string()), pa.array([None], pa.binary())], schema=out)
-                yield head
-                cols = list(zip(*rows, strict=True))
-                # parts must be numbered in reading order; flush() numbers by rows so far, which grows alike
-                yield pa.RecordBatch.from_arrays([*[pa.nulls(len(rows), f.type) for f in out][: len(keep)], pa.array([uid] * len(rows)), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.binary())], schema=out)
+                parts = own.leaves(body, leaf)
+                n, opens = len(parts), [x for _, x in parts]
+                rows = pa.concat_arrays([batch.column(0).slice(k, 1).cast(cut_schema.field("row").type), pa.nulls(n - 1, cut_schema.field("row").type)])
+                cols = [pa.array([uid] * n), pa.array(range(n), pa.int64()), pa.array([n] * n, pa.int64()), rows, pa.array([x for x, _ in parts]), pa.array([False, *opens[:-1]]), pa.array(opens)]
+                yield pa.RecordBatch.from_arrays(cols, schema=cut_schema)
 
     def leaves(batches):
         import pyarrow as pa
 
         own = encoder(path)
         for batch in batches:
-            texts, ids = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-            made = [np.array(own.plain(t), "<u4").tobytes() if t is not None else x for t, x in zip(texts, ids, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.nulls(len(made), pa.string()), pa.array(made, pa.binary())], schema=batch.schema)
-
-    def assemble(table):
+            for at in range(0, batch.num_rows, _STEP):
+                part = batch.slice(at, _STEP)
+                ids = own.encode(part.column(4).to_pylist())
+                head = [len(x) // 4 if on else 0 for x, on in zip(ids, part.column(5).to_pylist(), strict=True)]
+                tail = [len(x) // 4 if on else 0 for x, on in zip(ids, part.column(6).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(ids, pa.binary()), pa.array(head, pa.int64()), pa.array(tail, pa.int64())], schema=node_schema)
+
+    def level(table):
         import pyarrow as pa
 
-        own = encoder(path)
-        rows = sorted(zip(*[table.column(f"_bpe_{c}").to_pylist() for c in ("part", "leaf", "ids")], strict=True), key=lambda x: x[:2])[1:]
-        units: dict[int, list[list[int]]] = {}
-        for part, _, ids in rows:
-            units.setdefault(part, []).append(np.frombuffer(ids, "<u4").tolist())
-        ids = [i for part in sorted(units) for i in own.joined(units[part])]
-        head = table.filter(pa.compute.equal(table.column("_bpe_part"), -1)).select(keep)
-        return head.append_column("_bpe_ids", pa.array([np.array(ids, "<u4").tobytes()], pa.binary()))
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    out = to_arrow_schema(parts)
-    spread = df.mapInArrow(cut, parts).repartition("_bpe_uid", "_bpe_part", "_bpe_leaf").mapInArrow(leaves, parts)
-    return spread.groupBy("_bpe_uid").applyInArrow(assemble, T.StructType([*kept.fields, T.StructField("_bpe_ids", T.BinaryType())]))
+        own, table = encoder(path), table.sort_by("at")
+        made = [Node(np.frombuffer(i, "<u4").tolist(), h, t) for i, h, t in zip(*[table.column(c).to_pylist() for c in ("ids", "head", "tail")], strict=True)]
+        one = joined(made, own)
+        first = table.slice(0, 1).combine_chunks()
+        at, n = first.column("at")[0].as_py() // fan, -(-first.column("n")[0].as_py() // fan)
+        cols = [first.column("uid"), pa.array([at], pa.int64()), pa.array([n], pa.int64()), first.column("row"), pa.array([np.array(one.ids, "<u4").tobytes()], pa.binary()), pa.array([one.head], pa.int64()), pa.array([one.tail], pa.int64())]
+        return pa.Table.from_arrays(cols, names=node_schema.names)
+
+    # dealt by leaf, so that the leaves of one text are encoded in many tasks; written, since it is read once per round
+    now = written(df.mapInArrow(cut, cuts).repartition("uid", "at").mapInArrow(leaves, nodes), "leaves")
+    most = now.agg(F.max("n").alias("n")).first()["n"] or 1
+    done = [now.where("n = 1")]
+    while most > 1:
+        open_ = now.where("n > 1")
+        now = open_.groupBy("uid", F.floor(F.col("at") / fan).alias("to")).applyInArrow(level, nodes)
+        most = -(-most // fan)
+        if most > 1:
+            now = written(now, "level")
+        done.append(now.where("n = 1"))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.select("row", "ids")
 
 
 def decode(df: DataFrame, keep: list[str], ids: str = "ids", path: str | None = None) -> DataFrame:
     """The columns `keep` of df with n_tokens, ids_sha256 (of the decimal ids joined by commas) and `decoded`, the library's decoding of `ids` (null: none)."""
     path = path or default_path()
-    plain = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(ids), F.lit(b"")).alias("_bpe_ids"))
-    schema = T.StructType([*[plain.schema[c] for c in keep], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded", T.StringType())])
+    plain = df.select(F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("row"), F.coalesce(F.col(ids), F.lit(b"")).alias("ids"))
+    schema = T.StructType([plain.schema["row"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded", T.StringType())])
 
     def run(batches):
         import hashlib
 
         import pyarrow as pa
 
-        own, digits = encoder(path), [str(i) for i in range(encoder(path).tok.get_vocab_size())]
+        own = encoder(path)
+        digits = [str(i) for i in range(max(own.token_bytes) + 1)]
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                lists = [np.frombuffer(x, "<u4").tolist() for x in part.column(part.num_columns - 1).to_pylist()]
+            for at in range(0, batch.num_rows, _STEP):
+                part = batch.slice(at, _STEP)
+                lists = [np.frombuffer(x, "<u4").tolist() for x in part.column(1).to_pylist()]
                 shas = [hashlib.sha256(",".join([digits[i] for i in x]).encode()).hexdigest() for x in lists]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([len(x) for x in lists], pa.int64()), pa.array(shas, pa.string()), pa.array(own.decode(lists), pa.string())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in lists], pa.int64()), pa.array(shas, pa.string()), pa.array(own.decode(lists), pa.string())], names=schema.names)
 
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).select(*[F.col(f"row.`{c}`") for c in keep], "n_tokens", "ids_sha256", "decoded")
 
 
 def round_trip(df: DataFrame) -> DataFrame:

@@ -1,14 +1,7 @@
-"""A byte-level BPE encoder for worker processes, equal to the tokenizers library id for id.
-
-The library encodes about 2 MB a second and core here. Ordinary texts therefore go through tiktoken,
-given the same file's vocabulary and splitting pattern, at four to five times that; every CHECK-th of
-them is encoded by the library too, and a difference is an error. Texts with long unsplit runs, the
-windows around joins and all decoding are left to the library.
-"""
+"""A byte-level BPE encoder for worker processes: the tokenizers library, and joins of encodings that it made apart."""
 
 from __future__ import annotations
 
-import json
 import os
 import re
 
@@ -16,11 +9,11 @@ import numpy as np
 
 #: White space as the tokenizer's splitting pattern sees it (Unicode White_Space).
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Runs longer than this go to the library, whose merging stays near-linear in a run's length.
-LONG = 8192
-_LONG = re.compile(f"[^{_SPACE}]{{{LONG + 1}}}|[{_SPACE}]{{{LONG + 1}}}")
-#: Every so manieth text is encoded by both.
-CHECK = 128
+#: Between these two characters the splitting pattern always parts, whatever stands around them.
+_SAFE = re.compile(f"[^{_SPACE}](?=[ \\n])")
+_WHITE = re.compile(f"[{_SPACE}]+")
+#: Tokens on either side of a join that are encoded again at first.
+WINDOW = 4
 
 _own: dict[str, Encoder] = {}
 
@@ -57,64 +50,85 @@ class Encoder:
         self.tok.no_padding()
         self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self._bytes: dict[int, bytes] | None = None
-        self._fast = self._engine(path)
-        self._seen = 0
 
     @property
     def token_bytes(self) -> dict[int, bytes]:
         if self._bytes is None:
             letters = _byte_letters()
-            self._bytes = {i: bytes(letters[c] for c in t) for t, i in self.tok.get_vocab().items() if t not in self.special}
+            self._bytes = {i: t.encode() if t in self.special else bytes(letters[c] for c in t) for t, i in self.tok.get_vocab().items()}
         return self._bytes
 
     def plain(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def _engine(self, path: str):
-        """tiktoken over this file's vocabulary, or None if the file is of another kind."""
-        import public_tokenizers
-        import tiktoken
-
-        kind = json.loads(self.tok.to_str())
-        split = kind["pre_tokenizer"] or {}
-        if kind["normalizer"] or kind["model"]["type"] != "BPE" or kind["model"]["dropout"] or split.get("type") != "ByteLevel" or split["add_prefix_space"] or not split["use_regex"] or any(t[k] for t in kind["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
-            return None
-        ranks = {b: i for i, b in self.token_bytes.items()}
-        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        return [self._one(t) for t in texts]
-
-    def _one(self, text: str) -> bytes:
-        self._seen += 1
-        if self._fast is None or len(text) > LONG and _LONG.search(text):
-            return np.array(self.plain(text), "<u4").tobytes()
-        ids = self._fast.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
-        if self._seen % CHECK == 1 and ids != np.array(self.plain(text), "<u4").tobytes():
-            raise RuntimeError("the fast engine and the tokenizers library differ")
-        return ids
+        return [np.array(self.plain(t), "<u4").tobytes() for t in texts]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tok.decode_batch(ids, skip_special_tokens=False)
 
-    def pretokens(self, text: str) -> list[str | int]:
-        """The units that are encoded on their own: pretokens as text, special tokens as their id."""
-        out: list[str | int] = []
+    def pretokens(self, text: str) -> list[str]:
+        """The units that are encoded on their own: pretokens, and special tokens."""
+        out: list[str] = []
         split = re.split("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")", text) if self.special else [text]
         for part in split:
             if part in self.special:
-                out.append(self.special[part])
+                out.append(part)
             elif part:
                 out += [part[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(part)]
         return out
 
-    def join(self, a: list[int], b: list[int], window: int = 4) -> list[int]:
+    def leaves(self, text: str, size: int) -> list[tuple[str, bool]]:
+        """The text in parts of about `size` characters, each with whether the cut after it lies inside a pretoken.
+
+        Cuts are made between a character and a blank where the next `size` characters have such a
+        place, else between pretokens, and inside a pretoken only where it is longer than `size`.
+        """
+        if any(c.isspace() for s in self.special for c in s):
+            return [(text, False)]
+        out: list[tuple[str, bool]] = []
+        at = 0
+        while at < len(text):
+            found = _SAFE.search(text, at + size - 1) if len(text) - at > size else None
+            end = found.end() if found else len(text)
+            if end - at <= 2 * size:
+                out.append((text[at:end], False))
+            else:
+                out += self._hard(text[at:end], size)
+            at = end
+        return out
+
+    def _hard(self, text: str, size: int) -> list[tuple[str, bool]]:
+        out: list[tuple[str, bool]] = []
+        ready: list[str] = []
+
+        def flush() -> None:
+            # two white pretokens at the end would be one without the character after them
+            split = len(ready) - (len(ready) > 1 and bool(_WHITE.fullmatch(ready[-1])) and bool(_WHITE.fullmatch(ready[-2])))
+            out.extend(("".join(x), False) for x in (ready[:split], ready[split:]) if x)
+            ready.clear()
+
+        held = 0
+        for unit in self.pretokens(text):
+            long = len(unit) > size and unit not in self.special
+            if long or held + len(unit) > size:
+                flush()
+                held = 0
+            if long:
+                out += [(unit[i : i + size], i + size < len(unit)) for i in range(0, len(unit), size)]
+            else:
+                ready.append(unit)
+                held += len(unit)
+        flush()
+        return out
+
+    def join(self, a: list[int], b: list[int], window: int = WINDOW) -> list[int]:
         """The encoding of two adjacent parts of one pretoken, given the encodings of each.
 
         Re-encodes a window around the join, doubled until its first and last token agree with the
-        parts: a sequence of tokens is the encoding of its text if each adjacent pair is that of
-        its own text, and with agreeing ends every pair comes from one of the three encodings.
+        parts: a sequence of tokens is the encoding of an unsplit text if each adjacent pair is that
+        of its own text, and with agreeing ends every pair comes from one of the three encodings.
         """
         text_of = self.token_bytes
         while True:
@@ -128,8 +142,28 @@ class Encoder:
                 return a[:i] + middle + b[j:]
             window *= 2
 
-    def joined(self, leaves: list[list[int]]) -> list[int]:
-        """All leaves of one pretoken, joined pairwise level by level."""
-        while len(leaves) > 1:
-            leaves = [self.join(*leaves[i : i + 2]) if i + 1 < len(leaves) else leaves[i] for i in range(0, len(leaves), 2)]
-        return leaves[0] if leaves else []
+
+class Node:
+    """The encoding of some adjacent leaves. `head` and `tail` count the tokens at its ends that belong to a pretoken which goes on beyond."""
+
+    __slots__ = ("ids", "head", "tail")
+
+    def __init__(self, ids: list[int], head: int, tail: int):
+        self.ids, self.head, self.tail = ids, head, tail
+
+    def followed_by(self, b: Node, own: Encoder) -> Node:
+        if not self.tail:
+            # the cut parts two pretokens: both sides agree as they are
+            return Node(self.ids + b.ids, self.head, b.tail)
+        left, right = len(self.ids) - self.tail, b.head
+        middle = own.join(self.ids[left:], b.ids[:right])
+        head = len(middle) if self.head == len(self.ids) else self.head
+        tail = len(middle) if b.tail == len(b.ids) else b.tail
+        return Node(self.ids[:left] + middle + b.ids[right:], head, tail)
+
+
+def joined(nodes: list[Node], own: Encoder) -> Node:
+    """Adjacent nodes joined pairwise, level by level."""
+    while len(nodes) > 1:
+        nodes = [nodes[i].followed_by(nodes[i + 1], own) if i + 1 < len(nodes) else nodes[i] for i in range(0, len(nodes), 2)]
+    return nodes[0]

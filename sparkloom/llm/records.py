@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm._shared import workplace, written
+from sparkloom.llm._shared import ranges_of, workplace, written
 from sparkloom.llm.encoder import default_path, encoder
 
 END = 0
@@ -109,10 +109,11 @@ def write_records(df: DataFrame, out: str, text: str = "text", path: str | None
 
     Returns the manifest, a written table: part, file, n_docs, n_tokens. Null texts count as empty
     and give a record of the closing id alone; null doc_ids come first; equal doc_ids are ordered by
-    their texts. An empty table gives no file. Other columns are not read.
+    a hash of their texts, then by these, and are dealt to many tasks. Texts of any length are encoded
+    whole. An empty table gives no file. Other columns, whatever their names, are not read.
     """
     path = path or default_path()
-    plain = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    plain = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 
     def write(batches):
         import pyarrow as pa
@@ -140,19 +141,20 @@ def write_records(df: DataFrame, out: str, text: str = "text", path: str | None
             index.close()
             yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([f"{out}/{name}"]), pa.array([n_docs], pa.int64()), pa.array([n_tokens], pa.int64())], names=["part", "file", "n_docs", "n_tokens"])
 
-    dealt = plain.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows that agree in all of the order are equal records, so chance may deal them out
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    dealt = plain.repartitionByRange(*order, F.rand(1)).sortWithinPartitions(*order, "text")
     return written(dealt.mapInArrow(write, "part int, file string, n_docs long, n_tokens long"), "manifest")
 
 
 def read_records(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     """Every record of the manifest's files, checked: doc_id, start (ids of all records before it), n_tokens, ids_crc32 and, if asked for, ids."""
-    spark = manifest.sparkSession
-    # one row a file, as many as writing tasks
-    before, rows = 0, []
-    for r in manifest.orderBy("part").collect():
-        rows += [(r["file"], before, first, min(READ_DOCS, r["n_docs"] - first)) for first in range(0, r["n_docs"], READ_DOCS)]
-        before += r["n_tokens"]
-    ranges = spark.createDataFrame(rows, "file string, base long, first long, n long").repartition(max(1, min(len(rows), 10_000)))
+    from pyspark.sql import Window
+
+    # one row a file, as many as writing tasks: a running sum over them is one task's work
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    based = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    ranges = ranges_of(based, "n_docs", READ_DOCS, ["file", "base"])
 
     def read(batches):
         import pyarrow as pa

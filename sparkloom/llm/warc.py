@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm._shared import workplace, written
+from sparkloom.llm._shared import MOST_TASKS, ranges_of, workplace, written
 
 #: Shorter payloads are never revisits.
 LEAST_BYTES = 100
@@ -153,11 +153,6 @@ def write_archives(typed: DataFrame, out: str) -> DataFrame:
     return written(typed.mapInArrow(run, _MANIFEST), "archives")
 
 
-def _spread(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """Rows of a manifest, as many as files or parts of files, one to a task."""
-    return spark.createDataFrame(rows, schema).repartition(max(1, min(len(rows), 10_000)))
-
-
 def normalise(archives: DataFrame, out: str) -> DataFrame:
     """Every archive of the manifest rewritten with one gzip member a record, and its index beside it: the members' offsets and the end, 8 bytes each."""
 
@@ -183,13 +178,12 @@ def normalise(archives: DataFrame, out: str) -> DataFrame:
                     index.write(struct.pack("<Q", at))
                 yield pa.RecordBatch.from_arrays([pa.array([f"{out}/{name}"]), pa.array([n], pa.int64())], names=["file", "n"])
 
-    found = [(r["file"], r["n"]) for r in archives.collect()]
-    return written(_spread(archives.sparkSession, found, "file string, n long").mapInArrow(run, _MANIFEST), "normalised")
+    # one archive a task: a whole-file stream can only be inflated from its start
+    return written(archives.repartition(max(1, min(archives.count(), MOST_TASKS))).mapInArrow(run, _MANIFEST), "normalised")
 
 
 def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
     """All records of normalised archives: page_id, payload_bytes, payload_digest, record_type, refers_to and, if asked for, payload; a response's digest is checked."""
-    parts = [(r["file"], a, min(READ_RECORDS, r["n"] - a)) for r in manifest.collect() for a in range(0, r["n"], READ_RECORDS)]
 
     def run(batches):
         import pyarrow as pa
@@ -218,7 +212,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
                         yield pa.RecordBatch.from_arrays(cols + [pa.array(p, pa.binary())] * with_payload, names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * with_payload)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
-    return _spread(manifest.sparkSession, parts, "file string, first long, n long").mapInArrow(run, schema)
+    return ranges_of(manifest.withColumnRenamed("n", "records"), "records", READ_RECORDS, ["file"]).mapInArrow(run, schema)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

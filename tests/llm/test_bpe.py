@@ -1,11 +1,12 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 from tokenizers import Tokenizer
 
 from sparkloom.llm.bpe import decode, encode, round_trip
-from sparkloom.llm.encoder import Encoder, default_path
+from sparkloom.llm.encoder import Encoder, Node, default_path, joined
 
 
 def plain():
@@ -22,19 +23,56 @@ def test_pieces_encode_as_the_whole():
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == want
 
 
+def nodes(own, leaves):
+    made, inside = [], False
+    for text, opens in leaves:
+        ids = own.plain(text)
+        made.append(Node(ids, len(ids) * inside, len(ids) * opens))
+        inside = opens
+    return made
+
+
 def test_joins_equal_the_whole():
     own, rng = Encoder(default_path()), random.Random(2)
-    for letters in ("abcdefghijklmnopqrstuvwxyz", "ab", "theandingtion", "0123456789", "=-_*#'", "éèà世界", " \n", "aé世😀ñ"):
-        if letters == "aé世😀ñ":
-            letters = "aé世ñü"
-        for _ in range(60):
+    hard = 0
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ab", "theandingtion", "0123456789", "=-_*#'", "éèà世界", " \n", "aé世ñü", "ab'sll 12 \n\t", "<|endoftext|>", "a\u2003\x1c\x85 b", "aB3+/", "don't we'll  \n"):
+        for k in range(80):
             n = rng.randrange(2, 400)
             text = "".join(rng.choice(letters) for _ in range(n))
-            if len(own.pretokens(text)) != 1:
-                continue
-            size = rng.choice([1, 3, 16, 64])
-            leaves = [own.plain(text[i : i + size]) for i in range(0, n, size)]
-            assert own.joined(leaves) == own.plain(text)
+            if k % 5 == 0:
+                text = text[: n // 2] + "<|endoftext|>" + text[n // 2 :] + "  \n x"
+            leaves = own.leaves(text, rng.choice([1, 3, 16, 64]))
+            assert "".join(t for t, _ in leaves) == text
+            hard += sum(x for _, x in leaves)
+            assert joined(nodes(own, leaves), own).ids == own.plain(text)
+    assert hard > 1000
+
+
+def long_texts():
+    rng = random.Random(3)
+    run = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    words = [run("abcdefghij", rng.randrange(1, 9)) for _ in range(5000)]
+    return [" ".join(rng.choice(words) for _ in range(250_000)), run(base64, 200_000), "z" + " " * 100_000 + "z", "\n".join(run(base64, 76) for _ in range(3000)), " ".join(run("abcdef", 8000) for _ in range(10)), run("étéà", 60_000)]
+
+
+def test_long_texts_in_spark(spark):
+    texts = long_texts()
+    assert len(texts[0]) > 1_000_000
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tok = plain()
+    want = {i: tok.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    got = {r["doc_id"]: np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in encode(df, ["doc_id"]).collect()}
+    assert got == want
+
+
+def test_long_tokens_take_no_time():
+    own, text = Encoder(default_path()), long_texts()[4]
+    own.plain("warm")
+    began = time.perf_counter()
+    own.encode([text])
+    joined(nodes(own, own.leaves(text, 16_384)), own)
+    assert time.perf_counter() - began < 5
 
 
 def test_tree_in_spark(spark):
@@ -42,11 +80,13 @@ def test_tree_in_spark(spark):
     run = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
     texts = [None, "", "plain words only", "x " + run("abc", 500) + " y", run("the", 333) + "<|endoftext|>" + run("01", 250) + "'s", " " * 300 + "z", run("aB3+/é", 900), run("=", 700)]
     texts += [texts[3]]
-    df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, ids int")
+    df = spark.createDataFrame([(i, t, i, None if i % 2 else "k") for i, t in enumerate(texts)], "doc_id long, text string, ids int, `row` string")
     tok = plain()
     want = {i: tok.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
-    got = {r["doc_id"]: np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in encode(df, ["doc_id"], leaf=32).collect()}
-    assert got == want
+    for fan in (2, 16):
+        made = encode(df, ["doc_id", "row"], leaf=32, fan=fan).collect()
+        assert {r["doc_id"]: np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in made} == want
+        assert all(r["row"] == (None if r["doc_id"] % 2 else "k") for r in made)
     back = {r["doc_id"]: r["decoded"] for r in decode(encode(df, ["doc_id"], leaf=32), ["doc_id"]).collect()}
     assert back == {i: t or "" for i, t in enumerate(texts)}
 

@@ -37,7 +37,7 @@ def test_frame_finds_damage():
 
 
 def test_records_equal_brute_force(spark):
-    texts = ["b c", None, "", "The the and", "x" * 20_000 + " y", "The the and", "é世 <|endoftext|>"]
+    texts = ["b c", None, "", "The the and", "word é " * 180_000 + "x" * 20_000, "The the and", "é世 <|endoftext|>"]
     rows = [(5 - i if i != 3 else None, t, i) for i, t in enumerate(texts)] + [(5, "b c", 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, part int")
     tok = Tokenizer.from_file(default_path())
@@ -49,3 +49,17 @@ def test_records_equal_brute_force(spark):
     got = read_records(write_records(df, workplace(spark, "t")), with_ids=True).collect()
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
     assert read_records(write_records(df.limit(0), workplace(spark, "t"))).count() == 0
+
+
+def test_equal_ids_fill_no_single_file(spark):
+    df = spark.range(20_000).selectExpr("CAST(IF(id % 3 = 0, NULL, IF(id % 3 = 1, 7, id)) AS LONG) AS doc_id", "concat('t ', id % 50) AS text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = write_records(df.repartition(4), workplace(spark, "t"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["n_docs"] for r in manifest.collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 10_000
+    got = read_records(manifest).orderBy("start").collect()
+    ids = [-1 if r["doc_id"] is None else r["doc_id"] for r in got]
+    assert ids == sorted(ids) and [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:i]) for i in range(0, 200)] + [r["start"] for r in got[200:]]
