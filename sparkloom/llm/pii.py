@@ -1,7 +1,8 @@
 """Operator 10: personal data by fixed patterns and a semi-Markov conditional random field.
 
 The base patterns find what is written plainly; what they find stays. The field adds what they miss:
-phone numbers without a plus sign, cards with other separators, addresses written with [at] or [.].
+phone numbers without a plus sign, cards with other separators, addresses written with [at] or [.],
+and secrets: keys, tokens and passwords that stand behind a word for them.
 It scores candidate segments as wholes - shape of the digit groups, checksum, separators, characters
 around, a cue word before - and chooses boundaries and types together by dynamic programming over
 segments of bounded length. Its weights are learned here, by conditional likelihood, from sentences
@@ -20,9 +21,12 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone")
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
 #: An entity has at most so many digit groups and digits; a separator at most so many characters.
 MOST_GROUPS, MOST_DIGITS, MOST_GAP = 6, 19, 3
+#: A secret has so many characters.
+LEAST_SECRET, MOST_SECRET = 12, 200
 #: Sentences of the training set, passes over it, and its seed.
 SENTENCES, PASSES, SEED = 1500, 6, 10
 #: An added segment must be likelier than none by so much, in nats: clean texts are left alone.
@@ -91,13 +95,17 @@ _AT = re.compile(r"@|[\[({] ?[aA][tT] ?[\])}]| at (?=[A-Za-z0-9-]{1,63} dot )")
 _LEFT = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?\Z")
 _RIGHT = re.compile(r" ?[A-Za-z0-9-]{1,63}(?:(?: ?\. ?| dot | ?[\[({] ?(?:dot|\.) ?[\])}] ?)[A-Za-z0-9-]{1,63}){1,6}")
 _WORDS = re.compile(r"[^\W\d_]+")
+_OPAQUE = re.compile(r"[A-Za-z0-9_+/=.!@#$%^&*~-]{12,}")
+_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+_ASSIGN = re.compile(r"(?:[:=]|=>|\bis)\s?[\"'`]?\Z|[\"'`]\Z|\s\Z")
 # Words that announce a kind.
 _CUES = {
     "phone": "tel phone telephone call mobile cell fax dial ring whatsapp téléphone telefon teléfono handy móvil",
     "card": "card visa mastercard amex credit debit carte karte tarjeta",
     "ip": "ip host server gateway ping serveur servidor",
     "email": "mail email contact write courriel correo",
-    "other": "order id isbn version date invoice serial ref no number token key code year build",
+    "secret": "token secret password passwd pwd key apikey passphrase bearer credential credentials auth authorization",
+    "other": "order id isbn version date invoice serial ref no number code year build commit sha md5 checksum hash revision etag uuid digest",
 }
 _CUE = {w: kind for kind, words in _CUES.items() for w in words.split()}
 
@@ -127,6 +135,15 @@ def _number_features(text: str, a: int, b: int, groups: list[str], gaps: list[st
     ]
 
 
+def _secret_features(text: str, a: int, b: int) -> list[str]:
+    body = text[a:b]
+    sets = "hex" if _HEX.fullmatch(body) else "".join(n for n, on in (("a", any("a" <= c <= "z" for c in body)), ("A", any("A" <= c <= "Z" for c in body)), ("0", any(c.isdigit() for c in body)), ("_", not body.isalnum())) if on)
+    turns = sum(x.isdigit() != y.isdigit() for x, y in zip(body, body[1:], strict=False))
+    before = _ASSIGN.search(text, max(0, a - 4), a)
+    sign, cue = before[0].strip() if before else "-", _cue(text, a)
+    return ["bias", f"n={len(body).bit_length()}", f"sets={sets}", f"turns={min(turns, 6)}", f"sign={sign}", f"cue={cue}", f"cue={cue}&sign={bool(sign)}", f"cue={cue}&sets={sets}", f"cue={cue}&digits={turns > 0}", f"quotes={text[a - 1 : a] in (chr(34), chr(39), chr(96))}{text[b : b + 1] in (chr(34), chr(39), chr(96))}"]
+
+
 def candidates(text: str, taken: list[Span]) -> list[tuple[int, int, list[tuple[str, list[str]]]]]:
     """(start, end, [(kind, features)]) of every segment that may be an entity and meets no span of `taken`; no more per digit group than MOST_GROUPS."""
     out: list[tuple[int, int, list[tuple[str, list[str]]]]] = []
@@ -177,6 +194,16 @@ def candidates(text: str, taken: list[Span]) -> list[tuple[int, int, list[tuple[
             sign = m[0].strip().lower()
             made = ["bias", f"at={sign}", f"dot={'dot' in domain[0].lower()}", f"bracket={any(c in domain[0] for c in '[({')}", f"tld={min(len(last), 5)}", f"letters={last.isalpha()}", f"cue={_cue(text, a)}", f"space={local[0].endswith(' ')}", f"upper={last.isupper() or last.istitle()}", f"at={sign}&dot={'dot' in domain[0].lower()}"]
             out.append((a, b, [("email", made)]))
+    for m in _OPAQUE.finditer(text):
+        a, b = m.start(), m.end()
+        while b > a and text[b - 1] in ".!":
+            b -= 1
+        # a name and its value in one run: KEY=value
+        eq = text.find("=", a, b - LEAST_SECRET)
+        if eq > a and not text[a:eq].isdigit():
+            a = eq + 1
+        if LEAST_SECRET <= b - a <= MOST_SECRET and any(c.isdigit() for c in text[a:b]) and any(c.isalpha() for c in text[a:b]) and free(a, b):
+            out.append((a, b, [("secret", _secret_features(text, a, b))]))
     return sorted(out, key=lambda c: (c[0], c[1]))
 
 
@@ -309,7 +336,18 @@ def _sentence(rng: random.Random) -> tuple[str, list[Span]]:
         name, host, top = word() + pick(("", "." + word(), d(2))), word(), pick(("com", "org", "net", "de", "fr", "es", "io"))
         return pick((f"{name} [at] {host} [dot] {top}", f"{name}(at){host}(dot){top}", f"{name} at {host} dot {top}", f"{name} @ {host}.{top}", f"{name}[at]{host}.{top}"))
 
+    def opaque() -> str:
+        letters = pick(("0123456789abcdef", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789-_", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNP23456789!#%&*"))
+        n = pick((12, 14, 16, 20, 24, 32, 32, 40, 40, 44, 64, 88))
+        while True:
+            made = "".join(pick(letters) for _ in range(n))
+            if any(c.isdigit() for c in made) and any(c.isalpha() for c in made) and made[-1] not in "!":
+                return pick(("", "", "", "", "sk_live_", "ghp_", "AKIA")) + made
+
     def none() -> str:
+        if rng.random() < 0.15:
+            # long names that are no secrets: digests without a word for one, links, files
+            return pick((opaque(), f"{word()}/{word()}/{d(4)}/{word()}-{word()}.html", f"{word()}_{d(8)}_{word()}.txt", "-".join("".join(pick("0123456789abcdef") for _ in range(n)) for n in (8, 4, 4, 4, 12))))
         return pick((f"{d(4)}-{d(2)}-{d(2)}", f"{d(2)}.{d(2)}.{d(4)} {d(2)}:{d(2)}", d(rng.randint(5, 30)), f"{d(1)}.{d(1)}.{d(2)}.{d(4)}", " ".join(d(rng.randint(1, 5)) for _ in range(rng.randint(2, 9))), f"{d(4)} {d(4)} {d(4)} {d(4)}", f"{d(3)}-{d(1)}-{d(4)}-{d(4)}-{d(1)}", f"{d(3)}.{d(3)}.{d(3)}", f"{word()} @ {word()}", f"{d(3)},{d(3)},{d(3)}.{d(2)}", f"{d(1)}.{d(6)} {d(1)}.{d(6)}", f"{d(8)}-{d(6)}", f"{d(4)}-{d(4)}", f"0.{d(9)}", f"at {word()} {word()}", f"{d(13)}", f"{d(2)}{pick('abcdef')}{d(7)}{pick('abcdef')}{d(9)}", f"{d(4)}.{d(4)}.{d(4)}.{d(4)}"))
 
     parts, spans, at = [], [], 0
@@ -324,8 +362,13 @@ def _sentence(rng: random.Random) -> tuple[str, list[Span]]:
     for _ in range(rng.randint(1, 4)):
         put(word() + " ")
     for _ in range(rng.randint(1, 2)):
-        make, kind = pick(((card, "card"), (phone, "phone"), (ip, "ip"), (email, "email"), (none, None), (none, None), (none, None), (none, None)))
+        make, kind = pick(((card, "card"), (phone, "phone"), (ip, "ip"), (email, "email"), (opaque, "secret"), (none, None), (none, None), (none, None), (none, None)))
         cued = rng.random()
+        if kind == "secret":
+            put(pick(("", "api_", "access ", "my ")) + pick(_CUES["secret"].split()) + (sign := pick((" = \"", "=\"", ": ", " is ", "=", "='", ": \"", " = ", " "))))
+            put(make(), kind)
+            put((sign[-1] if sign[-1] in "\"'" else "") + pick((" ", ". ", ", ", "; ")) + word() + " ")
+            continue
         if kind == "phone" and cued < 0.5 or cued < 0.2 and kind:
             put(pick(_CUES[kind].split()) + pick((" ", ": ", ". ")))
         elif kind is None and cued < 0.4:
@@ -384,7 +427,8 @@ def find(df: DataFrame, text: str = "text") -> DataFrame:
     """doc_id and `spans`, an array of (kind, start, end, base) in code points with exclusive ends, one row per row of df.
 
     A null text counts as empty and has no spans; repeated rows get equal answers; an empty table
-    gives an empty one; other columns are not read. Null doc_ids stay null.
+    gives an empty one; other columns are not read. Null doc_ids stay null. Texts of any length are
+    read whole, in time linear in their length.
     """
     w = weights()
 
@@ -428,7 +472,7 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and digest of every document's base spans, and all its spans."""
+    """Counts and digest of every document's base spans, all its spans, how many these are and whether there is any."""
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["base"])
@@ -436,4 +480,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: str):
         return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, KINDS), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    every = [F.size("spans").cast("long").alias("n_spans"), (F.size("spans") > 0).alias("has_private")]
+    return found.select("doc_id", *map(count, BASE_KINDS), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), *every)
