@@ -28,7 +28,7 @@ MOST_GROUPS, MOST_DIGITS, MOST_GAP = 6, 19, 3
 #: A secret has so many characters.
 LEAST_SECRET, MOST_SECRET = 12, 200
 #: Sentences of the training set, passes over it, and its seed.
-SENTENCES, PASSES, SEED = 1500, 6, 10
+SENTENCES, PASSES, SEED = 4000, 6, 10
 #: An added segment must be likelier than none by so much, in nats: clean texts are left alone.
 MARGIN = 2.0
 
@@ -192,7 +192,7 @@ def candidates(text: str, taken: list[Span]) -> list[tuple[int, int, list[tuple[
         if free(a, b):
             last = re.split("[^A-Za-z0-9]+", domain[0])[-1]
             sign = m[0].strip().lower()
-            made = ["bias", f"at={sign}", f"dot={'dot' in domain[0].lower()}", f"bracket={any(c in domain[0] for c in '[({')}", f"tld={min(len(last), 5)}", f"letters={last.isalpha()}", f"cue={_cue(text, a)}", f"space={local[0].endswith(' ')}", f"upper={last.isupper() or last.istitle()}", f"at={sign}&dot={'dot' in domain[0].lower()}"]
+            made = ["bias", f"at={sign}", f"dot={'dot' in domain[0].lower()}", f"bracket={any(c in domain[0] for c in '[({')}", f"tld={min(len(last), 5)}", f"letters={last.isalpha()}", f"cue={_cue(text, a)}", f"space={local[0].endswith(' ')}", f"upper={last.isupper() or last.istitle()}", f"at={sign}&dot={'dot' in domain[0].lower()}", f"gap={'. ' in domain[0] or ' .' in domain[0]}", f"at={sign}&gap={'. ' in domain[0] or ' .' in domain[0]}"]
             out.append((a, b, [("email", made)]))
     for m in _OPAQUE.finditer(text):
         a, b = m.start(), m.end()
@@ -327,7 +327,7 @@ def _sentence(rng: random.Random) -> tuple[str, list[Span]]:
                 return sep.join(parts)
 
     def phone() -> str:
-        return pick((f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"0{d(2)} {d(4)} {d(4)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"00{d(2)} {d(2)} {d(7)}", f"0{d(3)}/{d(7)}", f"0{d(10)}"))
+        return pick((f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"0{d(2)} {d(4)} {d(4)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"00{d(2)} {d(2)} {d(7)}", f"0{d(3)}/{d(7)}", f"0{d(10)}", f"1-{d(3)}-{d(3)}-{d(4)}", f"0{d(2)} {d(rng.randint(6, 8))}", f"0{d(3)} {d(rng.randint(5, 7))}"))
 
     def ip() -> str:
         return pick(("[.]", "(.)", " . ")).join(str(rng.randint(0, 255)) for _ in range(4))

@@ -142,6 +142,14 @@ whatsapp «phone|0034 91 4123456» gracias
 call «phone|(0)20 7946 0812» today
 phone: «phone|555-867-5309», leave a message
 dial «phone|1-800-555-0199» toll free
+our line: «phone|1-888-555-0123», always open
+tél. «phone|04 91 55 12 34» le matin
+Telefon «phone|089 32168745» im Büro
+mobile: «phone|07911 123456» or mail
+phone «phone|(212) 555 0170» for a table
+call us: «phone|604.555.0112», free of charge
+fax «phone|0221/4710815» nur werktags
+teléfono «phone|091 555 12 34» por la tarde
 write to «email|jane.doe [at] example [dot] org» for more
 mail: «email|info(at)museum.example.net», thanks
 contact «email|bob at example dot com» for tickets
@@ -210,7 +218,7 @@ def test_recall_on_sentences_written_by_hand():
             if not any(k == kind and abs(x - a) <= 1 and abs(y - b) <= 1 for k, x, y in every):
                 extra.append((text, every))
     share = {k: hit[k] / wanted[k] for k in wanted}
-    assert sum(hit.values()) >= 0.9 * sum(wanted.values()) and min(share.values()) >= 0.75, (share, extra)
+    assert sum(hit.values()) >= 0.9 * sum(wanted.values()) and min(share.values()) >= 0.9, (share, extra)
     false = [(line, s) for line in CLEAN.strip().split("\n") if (s := spans_of(line, w)[1])]
     assert len(false) <= 1, false
 
