@@ -1,17 +1,20 @@
 """Operator 9: SimHash near-duplicates by meet-in-the-middle ball hashing.
 
 Two fingerprints at most 4 bits apart both lie within 2 bits of some value between them. So every
-distinct fingerprint stands for all its variants within half the radius, and fingerprints that meet
-in a variant are linked; they are at most 2 + 2 bits apart, which is the verification.
-
-All variants would be 2,081 rows a fingerprint. They are shuffled by their top bits only: a row goes
-to each of the few prefixes that its variants have, with the number of flips left for the rest, and
-the receiving task enumerates the rest in arrays, in pieces of bounded size. Members of a variant are
-tied to one of them, not to each other, so a group of any size adds no more links than rows.
+distinct fingerprint stands for all its variants within half the radius; fingerprints that collide in
+a variant are paired, pairs are deduplicated and each is verified by counting the bits that differ.
+
+All variants would be 2,081 rows a fingerprint. They are shuffled by their top bits: a row goes to each
+of the few prefixes that its variants have, with the number of flips left for the rest, and the
+receiving task enumerates the rest in arrays, in pieces of bounded size. A prefix with too many rows is
+split by further bits, again and again. Members of a variant are paired with one of them, not with each
+other, and a task gives back the verified pairs that connect what it found connected, so a group of
+any size adds no more links than rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -23,8 +26,8 @@ from sparkloom.llm._shared import forget, rows_named, written
 RADIUS, SHINGLE, SEED, BITS = 4, 4, 42, 64
 #: Variants that a task holds at once; 8 bytes each.
 PIECE = 2_000_000
-#: A prefix with more than this share of all rows, and 4 times the mean, is split by six more bits.
-HOT_SHARE = 1 / 2000
+#: A prefix with more rows than this is split by SPLIT_BITS more bits, and its parts likewise.
+MOST_ROWS, SPLIT_BITS = 200_000, 6
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -68,24 +71,30 @@ def _masks(bits: int, most: int) -> list[tuple[int, int]]:
     return [(sum(1 << b for b in chosen), r) for r in range(most + 1) for chosen in combinations(range(bits), r)]
 
 
-def _dealt(fps: DataFrame, n: int, half: int, piece: int) -> DataFrame:
-    """Rows (depth, prefix, fp, left): each fingerprint once under each prefix of its variants, with the flips left."""
+def _choices(bits: int, most: int):
+    """An array column of (mask, flips)."""
+    return F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.lit(r).alias("r")) for m, r in _masks(bits, most)])
+
+
+def _dealt(fps: DataFrame, n: int, half: int, piece: int, most: int = MOST_ROWS) -> DataFrame:
+    """Rows (depth, prefix, fp, left): each fingerprint once under each prefix of its variants, with the flips left; no prefix short of all bits has more than `most` rows."""
     per = sum(1 for _ in _masks(BITS, half)) if half < 3 else 50_000
-    k = int(np.clip(np.ceil(np.log2(max(1, n * per / (2 * piece)))), 4, 24))
-    choices = F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.lit(r).alias("r")) for m, r in _masks(k, half)])
-    rows = fps.select("fp", F.explode(choices).alias("c")).select(F.lit(k).alias("depth"), F.shiftrightunsigned("fp", BITS - k).bitwiseXOR(F.col("c.m")).alias("prefix"), "fp", (half - F.col("c.r")).alias("left"))
-    sizes = written(rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")), "prefixes")
-    total = n * len(_masks(k, half))
-    hot = [x["prefix"] for x in sizes.where(F.col("n") > max(piece // 50, 4 * total / 2**k, total * HOT_SHARE)).select("prefix").collect()]
-    if not hot:
-        return rows
-    # at most 1 / HOT_SHARE prefixes are hot, so the list is bounded
-    more = 6
-    finer = F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.lit(r).alias("r")) for m, r in _masks(more, half)])
-    split = rows.where(F.col("prefix").isin(hot)).select("prefix", "fp", "left", F.explode(finer).alias("c")).where(F.col("c.r") <= F.col("left"))
-    low = F.shiftrightunsigned("fp", BITS - k - more).bitwiseAND(F.lit(2**more - 1).cast("long")).bitwiseXOR(F.col("c.m"))
-    deep = split.select(F.lit(k + more).alias("depth"), F.shiftleft("prefix", more).bitwiseOR(low).alias("prefix"), "fp", (F.col("left") - F.col("c.r")).alias("left"))
-    return rows.where(~F.col("prefix").isin(hot)).unionByName(deep)
+    k = int(np.clip(np.ceil(np.log2(max(1, n * per / (2 * piece)))), 4, 32))
+    rows = fps.select("fp", F.explode(_choices(k, half)).alias("c")).select(F.lit(k).alias("depth"), F.shiftrightunsigned("fp", BITS - k).bitwiseXOR(F.col("c.m")).alias("prefix"), "fp", (half - F.col("c.r")).alias("left"))
+    done, depth = [], k
+    while depth < BITS:
+        sizes = rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(F.col("prefix").alias("p"))
+        hot = written(sizes, "hot")
+        if hot.isEmpty():
+            break
+        # the hot prefixes are met by joins, which AQE splits, and never listed on the driver
+        done.append(rows.join(hot, rows["prefix"] == hot["p"], "left_anti"))
+        more = min(SPLIT_BITS, BITS - depth)
+        parts = rows.join(hot, rows["prefix"] == hot["p"], "left_semi").select("prefix", "fp", "left", F.explode(_choices(more, half)).alias("c")).where(F.col("c.r") <= F.col("left"))
+        low = F.shiftrightunsigned("fp", BITS - depth - more).bitwiseAND(F.lit(2**more - 1).cast("long")).bitwiseXOR(F.col("c.m"))
+        depth += more
+        rows = written(parts.select(F.lit(depth).alias("depth"), F.shiftleft("prefix", more).bitwiseOR(low).alias("prefix"), "fp", (F.col("left") - F.col("c.r")).alias("left")), "finer")
+    return reduce(DataFrame.unionByName, [*done, rows])
 
 
 def _join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -104,9 +113,23 @@ def _join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def meet(fps: np.ndarray, left: np.ndarray, bits: int, piece: int = PIECE) -> np.ndarray:
-    """For fingerprints (unsigned) that share all but the low `bits` bits after the flips made so far: for each row the first row of its class."""
+def _forest(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Labels after merging along the pairs (u, v), and the places of pairs that suffice for it: each class takes its first pair out, until none leads out."""
+    alive, kept = np.arange(len(u)), []
+    while len(alive := alive[label[u[alive]] != label[v[alive]]]):
+        best = np.full(len(label), len(u))
+        np.minimum.at(best, label[u[alive]], alive)
+        np.minimum.at(best, label[v[alive]], alive)
+        chosen = np.unique(best[best < len(u)])
+        kept.append(chosen)
+        label = _join_labels(label, u[chosen], v[chosen])
+    return label, np.concatenate(kept) if kept else np.zeros(0, np.int64)
+
+
+def meet(fps: np.ndarray, left: np.ndarray, bits: int, radius: int, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """For fingerprints (unsigned) that share all but the low `bits` bits after the flips made so far: rows (u, v) at most `radius` bits apart that connect all that collide."""
     label = np.arange(len(fps))
+    found: list[np.ndarray] = []
     mask = np.uint64((1 << bits) - 1) if bits < 64 else np.uint64(0xFFFFFFFFFFFFFFFF)
     todo = [(np.arange(len(fps)), fps & mask, left.astype(np.int64), bits)]
     while todo:
@@ -140,8 +163,13 @@ def meet(fps: np.ndarray, left: np.ndarray, bits: int, piece: int = PIECE) -> np
         o, g = o[hit], where[hit]
         first = np.full(len(twice), len(fps))
         np.minimum.at(first, g, o)
-        label = _join_labels(label, o, first[g])
-    return label
+        # deduplicated, then verified by the bits that differ
+        pairs = np.unique(np.stack([o, first[g]], axis=1)[o != first[g]], axis=0)
+        pairs = pairs[np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]) <= radius]
+        label, kept = _forest(label, pairs[:, 0], pairs[:, 1])
+        found.append(pairs[kept])
+    every = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    return every[:, 0], every[:, 1]
 
 
 def _choose(n: int, k: int) -> int:
@@ -150,8 +178,8 @@ def _choose(n: int, k: int) -> int:
     return comb(n, k)
 
 
-def links(fps: DataFrame, radius: int = RADIUS, piece: int = PIECE) -> DataFrame:
-    """Rows (u, v), v linked to u by a chain of steps of at most `radius` bits; over distinct `fp` of fps, enough rows to connect all that are so linked."""
+def links(fps: DataFrame, radius: int = RADIUS, piece: int = PIECE, most: int = MOST_ROWS) -> DataFrame:
+    """Rows (u, v) of distinct `fp` of fps, verified to be at most `radius` bits apart, enough of them to connect all that such links connect."""
     half = radius // 2
     if radius != 2 * half:
         raise ValueError("radius must be even: both sides flip half of it")
@@ -161,11 +189,10 @@ def links(fps: DataFrame, radius: int = RADIUS, piece: int = PIECE) -> DataFrame
         import pyarrow as pa
 
         own = table.column("fp").to_numpy()
-        label = meet(own.view(np.uint64), table.column("left").to_numpy(), BITS - table.column("depth")[0].as_py(), piece)
-        at = np.flatnonzero(label != np.arange(len(label)))
-        return pa.table({"u": own[at], "v": own[label[at]]})
+        u, v = meet(own.view(np.uint64), table.column("left").to_numpy(), BITS - table.column("depth")[0].as_py(), radius, piece)
+        return pa.table({"u": own[u], "v": own[v]})
 
-    return _dealt(fps, n, half, piece).groupBy("depth", "prefix").applyInArrow(group, "u long, v long").distinct()
+    return _dealt(fps, n, half, piece, most).groupBy("depth", "prefix").applyInArrow(group, "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -199,7 +226,8 @@ def near_classes(df: DataFrame, text: str = "text", radius: int = RADIUS, shingl
 
     Null texts count as empty; texts without words have fingerprint zero and are linked by it. Null
     doc_ids are never the smallest; a component of nulls alone has a null id. Columns of df other
-    than doc_id and the text are not read. An empty table gives an empty table.
+    than doc_id and the text are not read. An empty table gives an empty table. Texts of any length
+    are read whole.
     """
     docs = written(fingerprints(df, text, shingle), "fingerprints")
     fps = written(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from sparkloom.llm.simhash import components, drop_near, fingerprint, fingerprints, links, meet, near_classes, op9_simhash
+from sparkloom.llm.simhash import _dealt, _join_labels, components, drop_near, fingerprint, fingerprints, links, meet, near_classes, op9_simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,7 +37,7 @@ def classes(fps, radius):
 
 def test_fingerprints_equal_brute_force():
     rng = random.Random(1)
-    for t in ["", " \t\n", "A", "a b c", "a b c d", "É é a\x1cb\x85c", "x y " * 5000, *[" ".join(rng.choice("abcDEé") for _ in range(rng.randrange(40))) for _ in range(200)]]:
+    for t in ["", " \t\n", "A", "a b c", "a b c d", "É é a\x1cb\x85c", "x y " * 5000, " ".join(f"word{i % 977}" for i in range(150_000)), *[" ".join(rng.choice("abcDEé") for _ in range(rng.randrange(40))) for _ in range(200)]]:
         assert fingerprint(t.encode()) == slow(t), t
 
 
@@ -57,15 +57,20 @@ def test_meeting_equals_all_pairs(piece):
     rng = random.Random(piece)
     for _ in range(3):
         fps = near_set(rng, 50)
-        label = meet(np.array(fps, np.uint64), np.full(len(fps), 2), 64, piece)
-        assert [int(x) for x in label] == classes(fps, 4)
+        u, v = meet(np.array(fps, np.uint64), np.full(len(fps), 2), 64, 4, piece)
+        assert all(bin(fps[a] ^ fps[b]).count("1") <= 4 for a, b in zip(u, v, strict=True))
+        by = classes(fps, 4)
+        assert len(u) == len(fps) - len(set(by))
+        assert [int(x) for x in _join_labels(np.arange(len(fps)), u, v)] == by
 
 
-@pytest.mark.parametrize("piece", [2_000_000, 5_000])
-def test_links_and_components_equal_all_pairs(spark, piece):
+@pytest.mark.parametrize(("piece", "most"), [(2_000_000, 200_000), (5_000, 200_000), (2_000_000, 60)])
+def test_links_and_components_equal_all_pairs(spark, piece, most):
     fps = near_set(random.Random(7), 250)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    got = dict(components(links(spark.createDataFrame([(x,) for x in signed], "fp long"), 4, piece)).collect())
+    pairs = links(spark.createDataFrame([(x,) for x in signed], "fp long"), 4, piece, most)
+    assert pairs.where("bit_count(u ^ v) > 4").isEmpty()
+    got = dict(components(pairs).collect())
     by = classes(fps, 4)
     roots: dict = {}
     for x, c in zip(signed, by, strict=True):
@@ -74,6 +79,15 @@ def test_links_and_components_equal_all_pairs(spark, piece):
     assert got == want
 
 
+def test_hot_prefixes_are_split_again_and_again(spark):
+    """Fingerprints that share their first 40 bits: no group keeps more than the bound before all bits are used."""
+    rng = random.Random(8)
+    fps = {0xABCDEF0123 << 24 | rng.getrandbits(24) for _ in range(3000)}
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    sizes = _dealt(df, len(fps), 2, 2_000_000, 500).groupBy("depth", "prefix").count().collect()
+    assert max(r["count"] for r in sizes) <= 500 and max(r["depth"] for r in sizes) > 40
+
+
 def test_chain_and_star(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5, 5)]
     got = dict(components(spark.createDataFrame(edges, "u long, v long")).collect())
