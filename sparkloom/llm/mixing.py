@@ -1,13 +1,17 @@
 """Operator 6: mixing sources to target weights by drawn blocks.
 
 Each source's words, its documents laid end to end in doc_id order, are packed into blocks of a fixed
-number of words. Every output shard draws how many slots each source gets from a multinomial whose
-odds are what each source has still to give, so the shards' sums meet the targets. A source's slots
-count through a pseudorandom permutation of its blocks (a keyed Feistel network), then through the
-next one, so no block is taken again before all were taken. Slots and blocks meet in a join on
-(source, block); no key of it has more rows than a block has words.
-
-On the driver: one row per source, and one per (shard, source), at most DRAWS of them.
+number of words. A source has as many slots as its target asks for, and every slot falls to one of the
+equally likely output shards: given its size, a shard's counts by source are multinomial with the
+sources' shares as odds, while the sums over shards meet the targets exactly. The counts of shards
+are drawn by halving: a seeded binomial says how many of the slots of a stretch of shards lie in its
+first half, so any task finds the counts of any shard by itself. A source's slots count through a
+pseudorandom permutation of its blocks (a keyed Feistel network), then through the next one, so no
+block is taken again before all were taken. Slots and blocks meet in a join on (source, block); no key
+of it has more rows than a block has words.
+
+Nothing but the number of shards passes the driver. One task sees one row per source, to share the
+words out.
 """
 
 from __future__ import annotations
@@ -19,43 +23,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm._shared import WORD, numbered, written
+from sparkloom.llm._shared import MOST_TASKS, WORD, numbered, written
 
 BLOCK_WORDS, SHARD_SLOTS, MOST_EPOCHS, SEED = 32, 8192, 3, 20
 WEIGHTS = (1.0, 2.0, 3.0)
-#: Most (shard, source) counts drawn; with more, shards get larger.
-DRAWS = 2_000_000
-
-
-def targets(sizes: list[int], weights: list[float], most: float = MOST_EPOCHS) -> list[float]:
-    """Shares of sum(sizes) by weight; none above `most` times its size, the excess reshared by weight among the others."""
-    left, out, open_ = float(sum(sizes)), [0.0] * len(sizes), list(range(len(sizes)))
-    while open_:
-        rate = left / sum(weights[i] for i in open_)
-        full = [i for i in open_ if rate * weights[i] > most * sizes[i]]
-        if not full:
-            for i in open_:
-                out[i] = rate * weights[i]
-            break
-        for i in full:
-            out[i] = float(most * sizes[i])
-            left -= out[i]
-        open_ = [i for i in open_ if i not in set(full)]
-    return out
+#: Slots that a task lays at a time.
+SLOTS_STEP = 100_000
+
 
+def with_targets(sources: DataFrame, weights: tuple[float, ...], most: float = MOST_EPOCHS) -> DataFrame:
+    """Rows (source, n) with rank (by code point, null last) and target: shares of all words by weight, none above `most` times its n, the excess reshared by weight among the others.
+
+    The sources that stop are those with the least n for their weight. In that order, a source stops
+    if the rate that is left when all before it have stopped would give it too much; the first that
+    does not sets the rate of all after it.
+    """
+    from pyspark.sql import Window
 
-def draw(slots: list[int], shards: int, seed: int = SEED) -> np.ndarray:
-    """Counts (shard, source): multinomial per shard over what the sources have left, so that columns sum to `slots`."""
-    left = np.array(slots, np.int64)
-    total, out = int(left.sum()), np.zeros((shards, len(slots)), np.int64)
-    for j in range(shards):
-        need = total * (j + 1) // shards - total * j // shards
-        rng = np.random.default_rng([seed, j])
-        while need:
-            got = np.minimum(rng.multinomial(need, left / left.sum()), left)
-            out[j] += got
-            left -= got
-            need -= int(got.sum())
+    ranked = sources.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    given = F.array(*[F.lit(float(w)) for w in weights])
+    weighed = ranked.withColumn("w", F.get(given, F.col("rank") % len(weights)))
+    whole = Window.partitionBy()
+    before = Window.orderBy(F.col("n") / F.col("w"), "rank").rowsBetween(Window.unboundedPreceding, -1)
+    total, weight = F.sum("n").over(whole), F.sum("w").over(whole)
+    rate = (total - most * F.coalesce(F.sum("n").over(before), F.lit(0))) / (weight - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
+    rated = weighed.withColumn("rate", rate).withColumn("stops", F.col("rate") * F.col("w") > most * F.col("n"))
+    settled = rated.withColumn("final", F.min_by(F.when(~F.col("stops"), F.col("rate")), F.when(~F.col("stops"), F.struct(F.col("n") / F.col("w"), F.col("rank")))).over(whole))
+    goal = F.when(F.col("stops"), most * F.col("n")).otherwise(F.col("final") * F.col("w")).cast("double")
+    return settled.select("rank", "source", "n", goal.alias("target"))
+
+
+def shard_ranges(total: int, shards: int, key: int, seed: int, low: int, high: int) -> list[tuple[int, int, int]]:
+    """(shard, first, end) of the stretches that meet slots low .. high - 1 of a source with `total` slots; each stretch holds the slots that fall to a shard.
+
+    Binomial halving: every node's draw has a seed of its own, so all tasks agree.
+    """
+    out: list[tuple[int, int, int]] = []
+    todo = [(0, shards, 0, total)]
+    while todo:
+        a, b, first, n = todo.pop()
+        if first >= high or first + n <= low or not n:
+            continue
+        if b - a == 1:
+            out.append((a, first, first + n))
+            continue
+        middle = (a + b) // 2
+        left = int(np.random.default_rng([seed, key, a, b]).binomial(n, (middle - a) / (b - a)))
+        todo += [(middle, b, first + left, n - left), (a, middle, first, left)]
     return out
 
 
@@ -93,43 +107,37 @@ def _laid(df: DataFrame, text: str, rows: bool) -> DataFrame:
 
 
 def _plan(laid: DataFrame, weights: tuple[float, ...], block: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Sources (rank, source, target, n_blocks), and slots (shard, slot, rank, block)."""
-    spark = laid.sparkSession
-    found = laid.groupBy("source").agg(F.max("source_size").alias("n")).orderBy(F.col("source").asc_nulls_last()).collect()
-    sizes = [int(r["n"]) for r in found]
-    goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))])
-    n_blocks = [-(-n // block) for n in sizes]
-    slots = [min(MOST_EPOCHS * b, round(g * b / n)) if n else 0 for g, b, n in zip(goal, n_blocks, sizes, strict=True)]
-    shards = int(np.clip(-(-sum(slots) // SHARD_SLOTS), 1, max(1, DRAWS // max(1, len(sizes)))))
-    counts = draw(slots, shards, seed)
-    sources = spark.createDataFrame([(i, r["source"], g, b) for i, (r, g, b) in enumerate(zip(found, goal, n_blocks, strict=True))], "rank int, source string, target double, n_blocks long")
-    import pandas as pd
-
-    j, i = np.nonzero(counts)
-    before = (np.cumsum(counts, axis=0) - counts)[j, i]
-    inside = (np.cumsum(counts, axis=1) - counts)[j, i]
-    drawn = pd.DataFrame({"shard": j, "rank": i, "n": counts[j, i], "first": before, "at": inside, "n_blocks": np.array(n_blocks, np.int64)[i] if len(i) else np.zeros(0, np.int64)}).astype("int64")
-    schema = "shard long, rank long, n long, first long, at long, n_blocks long"
-    draws = spark.createDataFrame(drawn, schema) if len(drawn) else spark.createDataFrame([], schema)
-    draws = draws.repartition(max(1, min(len(drawn), sum(slots) // 100_000 + 1)))
+    """Sources (rank, source, target, n_blocks, slots), a written table, and slots (shard, rank, slot, block)."""
+    found = with_targets(laid.groupBy("source").agg(F.max("source_size").alias("n")), weights)
+    n_blocks = F.ceil(F.col("n") / block)
+    wanted = F.least(MOST_EPOCHS * n_blocks, F.round(F.try_divide(F.col("target") * n_blocks, F.col("n"))).cast("long"))
+    sources = written(found.select("rank", "source", "target", n_blocks.alias("n_blocks"), F.when(F.col("n") > 0, wanted).otherwise(0).cast("long").alias("slots")), "sources")
+    total = sources.agg(F.sum("slots")).first()[0] or 0
+    shards = max(1, -(-total // SHARD_SLOTS))
+    step = F.lit(SLOTS_STEP).cast("long")
+    pieces = sources.where("slots > 0").select("rank", "n_blocks", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, step)).alias("low"))
+    spread = pieces.repartition(int(min(max(1, total // SLOTS_STEP), MOST_TASKS)))
 
     def place(batches):
         import pyarrow as pa
 
         for batch in batches:
             for d in batch.to_pylist():
-                for lo in range(0, d["n"], 100_000):
-                    k = np.arange(lo, min(d["n"], lo + 100_000), dtype=np.int64)
-                    t, size = d["first"] + k, np.full(len(k), d["n_blocks"], np.int64)
-                    key = _mix(np.uint64(seed) * np.uint64(1_000_003) + np.uint64(d["rank"]) * np.uint64(64) + (t // size).astype(np.uint64))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), d["shard"])), pa.array(d["at"] + k), pa.array(np.full(len(k), d["rank"], np.int32)), pa.array(permuted(t % size, size, key))], names=["shard", "slot", "rank", "block"])
+                low, high = d["low"], min(d["slots"], d["low"] + SLOTS_STEP)
+                t = np.arange(low, high, dtype=np.int64)
+                shard = np.zeros(len(t), np.int64)
+                for j, first, end in shard_ranges(d["slots"], shards, d["rank"], seed, low, high):
+                    shard[max(first, low) - low : min(end, high) - low] = j
+                size = np.full(len(t), d["n_blocks"], np.int64)
+                key = _mix(np.uint64(seed) * np.uint64(1_000_003) + np.uint64(d["rank"]) * np.uint64(64) + (t // size).astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(np.full(len(t), d["rank"], np.int32)), pa.array(t), pa.array(permuted(t % size, size, key))], names=["shard", "rank", "slot", "block"])
 
-    return sources, draws.mapInArrow(place, "shard long, slot long, rank int, block long")
+    return sources, spread.mapInArrow(place, "shard long, rank int, slot long, block long")
 
 
 def _taken(laid: DataFrame, sources: DataFrame, slots: DataFrame, block: int) -> DataFrame:
     """Rows (rank, start, taken, drawn): per document with words, the words that the mix takes and [(block, times)]."""
-    ranked = laid.where("size > 0").join(F.broadcast(sources.select("rank", F.col("source").alias("_s"))), F.col("source").eqNullSafe(F.col("_s")))
+    ranked = laid.where("size > 0").join(sources.select("rank", F.col("source").alias("_s")), F.col("source").eqNullSafe(F.col("_s")))
     pieces = ranked.select("rank", "start", F.col("size"), F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
     words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
     times = slots.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
@@ -142,12 +150,12 @@ def mix_report(df: DataFrame, text: str = "text", weights: tuple[float, ...] = W
 
     Null texts have no words; a null source is a source of its own, the last. Equal rows take
     places of their own. Rows that agree in source, doc_id, size and text may swap their takings.
-    An empty table gives an empty one.
+    An empty table gives an empty one; texts of any length are counted whole; other columns are not read.
     """
     laid = _laid(df, text, False)
     sources, slots = _plan(laid, weights, block, seed)
     taken = written(_taken(laid, sources, slots, block).select("rank", "start", "taken"), "taken")
-    ranked = laid.join(F.broadcast(sources.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "rank", "start", "size", "source_size", "target")
+    ranked = laid.join(sources.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "rank", "start", "size", "source_size", "target")
     met = ranked.join(taken.withColumnRenamed("start", "_start").withColumnRenamed("rank", "_rank"), (F.col("rank") == F.col("_rank")) & (F.col("start") == F.col("_start")) & (F.col("size") > 0), "left")
     return met.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
@@ -163,7 +171,7 @@ def mixed(df: DataFrame, text: str = "text", weights: tuple[float, ...] = WEIGHT
     laid = _laid(df, text, True)
     sources, slots = _plan(laid, weights, block, seed)
     taken = written(_taken(laid, sources, slots, block), "taken")
-    ranked = laid.where("size > 0").join(F.broadcast(sources.select("rank", F.col("source").alias("_s"))), F.col("source").eqNullSafe(F.col("_s")))
+    ranked = laid.where("size > 0").join(sources.select("rank", F.col("source").alias("_s")), F.col("source").eqNullSafe(F.col("_s")))
     met = ranked.join(taken.select(F.col("rank").alias("_r"), F.col("start").alias("_st"), "drawn"), (F.col("rank") == F.col("_r")) & (F.col("start") == F.col("_st")))
     columns, where = df.columns, df.columns.index(text)
 

@@ -1,9 +1,10 @@
+import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 
-from sparkloom.llm.mixing import draw, mix_report, mixed, op6_mixing, permuted, targets
+from sparkloom.llm.mixing import _mix, mix_report, mixed, op6_mixing, permuted, shard_ranges, with_targets
 
 SF = "/root/testdata/sf0.01"
 
@@ -12,20 +13,74 @@ def n_words(t):
     return len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
 
 
-def test_targets():
-    assert targets([100, 100, 100], [1, 2, 3]) == [50.0, 100.0, 150.0]
-    got = targets([300, 300, 10], [1, 2, 3])
-    assert got[2] == 30 and np.isclose(got[0] * 2, got[1]) and np.isclose(sum(got), 610)
-    assert targets([], []) == [] and targets([0, 0], [1, 2]) == [0.0, 0.0]
-    assert np.isclose(sum(targets([5, 0, 7], [1, 2, 3])), 12)
-
-
-def test_draws_meet_the_slots():
-    slots = [1000, 0, 37, 5000]
-    got = draw(slots, 9)
-    assert got.sum(axis=0).tolist() == slots and got.min() >= 0
-    assert max(got.sum(axis=1)) - min(got.sum(axis=1)) <= 1
-    assert (got == draw(slots, 9)).all()
+def targets(sizes, weights, most=3):
+    """The contract's words as a loop: shares by weight; who exceeds three times its size stops, and the rest is shared again."""
+    left, out, open_ = float(sum(sizes)), [0.0] * len(sizes), list(range(len(sizes)))
+    while open_:
+        rate = left / sum(weights[i] for i in open_)
+        full = {i for i in open_ if rate * weights[i] > most * sizes[i]}
+        if not full:
+            for i in open_:
+                out[i] = rate * weights[i]
+            break
+        for i in full:
+            out[i] = float(most * sizes[i])
+            left -= out[i]
+        open_ = [i for i in open_ if i not in full]
+    return out
+
+
+def test_targets_equal_the_loop(spark):
+    rng = random.Random(4)
+    cases = [[100, 100, 100], [300, 300, 10], [0, 0], [5, 0, 7], [1], *[[int(10 ** rng.uniform(0, 6)) for _ in range(rng.randrange(1, 40))] for _ in range(8)]]
+    for sizes in cases:
+        df = spark.createDataFrame([(f"s{i:03d}" if i < len(sizes) - 1 else None, n) for i, n in enumerate(sizes)], "source string, n long")
+        got = [r["target"] for r in with_targets(df, (1.0, 2.0, 3.0)).orderBy("rank").collect()]
+        assert np.allclose(got, targets(sizes, [1.0 + i % 3 for i in range(len(sizes))]), rtol=1e-9), sizes
+    assert with_targets(df.limit(0), (1.0, 2.0, 3.0)).count() == 0
+
+
+def test_shards_share_out_the_slots():
+    whole = shard_ranges(100_000, 37, 5, 1, 0, 100_000)
+    assert [x[0] for x in whole] == sorted(x[0] for x in whole) and whole[0][1] == 0 and whole[-1][2] == 100_000
+    assert all(a[2] == b[1] for a, b in zip(whole, whole[1:]))
+    sizes = [e - f for _, f, e in whole]
+    assert len(whole) == 37 and abs(np.std(sizes) - np.sqrt(100_000 / 37)) < 0.5 * np.sqrt(100_000 / 37)
+    # a stretch of slots gives the same shards as the whole
+    assert shard_ranges(100_000, 37, 5, 1, 5_000, 6_000) == [x for x in whole if x[1] < 6_000 and x[2] > 5_000]
+    assert shard_ranges(0, 3, 1, 1, 0, 10) == [] and shard_ranges(10, 1, 1, 1, 0, 10) == [(0, 0, 10)]
+
+
+def test_report_equals_pack_permute_join_by_hand(spark):
+    """Documents laid end to end, slots counted through each epoch's permutation, block by block."""
+    rng, block, seed = random.Random(6), 8, 20
+    rows = [(i, "w " * rng.choice([0, 1, 3, 20, 90]), rng.choice(["a", "b", None, "c"])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    by = defaultdict(list)
+    for i, t, s in rows:
+        by[s].append((i, n_words(t)))
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    sizes = [sum(n for _, n in by[s]) for s in names]
+    goal, want = targets(sizes, [1.0 + i % 3 for i in range(len(names))]), {}
+    for rank, (s, n, g) in enumerate(zip(names, sizes, goal, strict=True)):
+        blocks = -(-n // block)
+        times = Counter()
+        for t in range(min(3 * blocks, int(g * blocks / n + 0.5)) if n else 0):
+            key = _mix(np.uint64((seed * 1_000_003 + rank * 64 + t // blocks) % 2**64))
+            times[int(permuted(np.array([t % blocks]), np.array([blocks]), np.array([key]))[0])] += 1
+        at = 0
+        for i, size in sorted(by[s]):
+            want[i] = (size, n, sum(times[w // block] for w in range(at, at + size)))
+            at += size
+    got = {r["doc_id"]: (r["size"], r["source_size"], r["taken"]) for r in mix_report(docs, block=block, seed=seed).collect()}
+    assert got == want
+
+
+def test_very_long_text(spark):
+    df = spark.createDataFrame([(1, "some words of a text " * 60_000, "a"), (2, "b c", "b")], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in mix_report(df).collect()}
+    assert got[1]["size"] == 300_000 and 0 < got[1]["taken"] <= 300_000
+    assert sum(n_words(r["text"]) for r in mixed(df).collect()) == sum(r["taken"] for r in got.values())
 
 
 def test_permutations():
