@@ -1,17 +1,27 @@
-"""A byte-level BPE encoder for worker processes: the tokenizers library, and joins of encodings that it made apart."""
+"""A byte-level BPE encoder for worker processes: the tokenizers library, and joins of encodings that it made apart.
+
+Between a character and white space after it the splitting pattern always parts, whatever stands
+around them, so the encoding of a text is that of its segments - white space and the characters up to
+the next - one after the other. The library encodes segments; those met lately are remembered.
+"""
 
 from __future__ import annotations
 
+import json
 import os
 import re
-
-import numpy as np
+from array import array
 
 #: White space as the tokenizer's splitting pattern sees it (Unicode White_Space).
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Between these two characters the splitting pattern always parts, whatever stands around them.
 _SAFE = re.compile(f"[^{_SPACE}](?=[ \\n])")
 _WHITE = re.compile(f"[{_SPACE}]+")
+_SEGMENT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+#: A blank or line end that follows other white space; without any, segments begin at each of the two.
+_RUN = re.compile(f"[{_SPACE}][ \\n]")
+#: Segments that a worker remembers, twice over, and their characters: 200 MB at most, for texts with and without runs.
+SEGMENTS, SEGMENT_CHARS = 400_000, 8_000_000
 #: Tokens on either side of a join that are encoded again at first.
 WINDOW = 4
 
@@ -38,6 +48,50 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class _Seen(dict):
+    """Segment -> ids. When full it becomes the older half of what is remembered, and what is met again moves over.
+
+    With `blank`, a segment is named without the blank before it; one that begins with a line end has none.
+    """
+
+    def __init__(self, own: Encoder, blank: bool):
+        self.own, self.chars, self.older, self.blank = own, 0, {}, blank
+        self.lead, self.model = own.letters[32] if own.letters and blank else "", own.tok.model
+
+    def __missing__(self, segment: str) -> bytes:
+        ids = self.older.get(segment)
+        if ids is None:
+            ids = self._made(segment)
+        if len(self) >= SEGMENTS or self.chars + len(segment) > SEGMENT_CHARS:
+            self.older, self.chars = dict(self), 0
+            self.clear()
+        if len(segment) <= SEGMENT_CHARS:
+            self[segment] = ids
+            self.chars += len(segment)
+        return ids
+
+    def _made(self, segment: str) -> bytes:
+        if self.lead and segment.isascii() and segment.isalpha():
+            # the commonest case: bytes are their own letters
+            return array("I", [t.id for t in self.model.tokenize(self.lead + segment)]).tobytes()
+        blank, word = (True, segment) if self.blank and segment[:1] != "\n" else (segment[:1] == " ", segment.removeprefix(" "))
+        if self.own.letters and word and word[-1] in _STOPS and _plain(word[:-1]):
+            # letters and a stop are two pretokens
+            return self[segment[:-1]] + self.own.stops[word[-1]]
+        if self.own.letters and _plain(word):
+            # letters, with the blank before them, are one pretoken
+            return array("I", [t.id for t in self.model.tokenize(self.own.letters[32] * blank + word.encode().decode("latin-1").translate(self.own.letters))]).tobytes()
+        return self.own.encoded(" " * blank + word)
+
+
+_STOPS = ".,;:!?"
+
+
+def _plain(word: str) -> bool:
+    """Letters alone, of scripts whose letters have long been settled."""
+    return word.isalpha() and max(word) < "\u0250"
+
+
 class Encoder:
     """Encodes as the library does with add_special_tokens=False and without truncation and padding."""
 
@@ -50,6 +104,15 @@ class Encoder:
         self.tok.no_padding()
         self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self._bytes: dict[int, bytes] | None = None
+        kind = json.loads(self.tok.to_str())
+        split = kind["pre_tokenizer"] or {}
+        usual = not kind["normalizer"] and kind["model"]["type"] == "BPE" and not kind["model"]["dropout"] and split.get("type") == "ByteLevel" and not split["add_prefix_space"] and split["use_regex"]
+        #: byte -> letter where a pretoken may be given to the library's model directly, else nothing
+        self.letters = {b: c for c, b in _byte_letters().items()} if usual and not any(s.strip(_STOPS).isalpha() for s in self.special) else {}
+        self._white_special = any(_WHITE.search(s) for s in self.special)
+
+        self._seen, self._after_blank = _Seen(self, False), _Seen(self, True)
+        self.stops = {c: self.encoded(c) for c in _STOPS}
 
     @property
     def token_bytes(self) -> dict[int, bytes]:
@@ -61,9 +124,20 @@ class Encoder:
     def plain(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
+    def encoded(self, text: str) -> bytes:
+        return array("I", self.plain(text)).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        return [np.array(self.plain(t), "<u4").tobytes() for t in texts]
+        if self._white_special:
+            return [self.encoded(t) for t in texts]
+        return [self._segments(t) for t in texts]
+
+    def _segments(self, text: str) -> bytes:
+        if _RUN.search(text):
+            return b"".join(map(self._seen.__getitem__, _SEGMENT.findall(text)))
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return self.encoded(first) + b"".join(map(self._after_blank.__getitem__, rest))
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tok.decode_batch(ids, skip_special_tokens=False)
@@ -85,7 +159,7 @@ class Encoder:
         Cuts are made between a character and a blank where the next `size` characters have such a
         place, else between pretokens, and inside a pretoken only where it is longer than `size`.
         """
-        if any(c.isspace() for s in self.special for c in s):
+        if self._white_special:
             return [(text, False)]
         out: list[tuple[str, bool]] = []
         at = 0

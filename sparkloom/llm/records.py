@@ -24,6 +24,7 @@ from sparkloom.llm._shared import ranges_of, workplace, written
 from sparkloom.llm.encoder import default_path, encoder
 
 END = 0
+END_BYTES = struct.pack("<I", END)
 _CHUNK = 512
 _HEAD = struct.Struct("<QI")
 #: Documents that a reading task takes from a file at a time.
@@ -49,16 +50,21 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return at[::-1].ravel().copy(), moved
 
 
+@cache
+def _byte_table() -> list[int]:
+    return _tables()[0][-256:].tolist()
+
+
 def crc32c(data: bytes) -> int:
     """CRC-32C (Castagnoli)."""
     table, moved = _tables()
     raw = np.frombuffer(data, np.uint8)
     n = len(raw)
-    if n < 4:
+    if n < 32:
         state = 0xFFFFFFFF
-        one = table[-256:]
+        one = _byte_table()
         for b in data:
-            state = int(one[(state ^ b) & 0xFF]) ^ (state >> 8)
+            state = one[(state ^ b) & 0xFF] ^ (state >> 8)
         return state ^ 0xFFFFFFFF
     rows = -(-n // _CHUNK)
     padded = np.zeros(rows * _CHUNK, np.uint8)
@@ -130,11 +136,14 @@ def write_records(df: DataFrame, out: str, text: str = "text", path: str | None
                 if data is None and part.num_rows:
                     store.create_dir(folder, recursive=True)
                     data, index = store.open_output_stream(f"{folder}/{name}"), store.open_output_stream(f"{folder}/{name}.idx")
+                records, entries = [], []
                 for doc_id, raw in zip(part.column(0).to_pylist(), own.encode(part.column(1).to_pylist()), strict=True):
-                    record = frame(pack(doc_id, np.append(np.frombuffer(raw, "<u4"), np.uint32(END))))
-                    index.write(struct.pack("<QQ", at, n_tokens))
-                    data.write(record)
-                    at, n_docs, n_tokens = at + len(record), n_docs + 1, n_tokens + len(raw) // 4 + 1
+                    records.append(frame(pack(doc_id, np.frombuffer(raw + END_BYTES, "<u4"))))
+                    entries.append(struct.pack("<QQ", at, n_tokens))
+                    at, n_docs, n_tokens = at + len(records[-1]), n_docs + 1, n_tokens + len(raw) // 4 + 1
+                if records:
+                    data.write(b"".join(records))
+                    index.write(b"".join(entries))
         if data is not None:
             index.write(struct.pack("<QQ", at, n_tokens))
             data.close()

@@ -19,6 +19,7 @@ def test_pieces_encode_as_the_whole():
     texts = ["".join(rng.choice(chars) for _ in range(rng.randrange(60))) for _ in range(3000)]
     texts += [" <|endoftext|>  x", "a  <|endoftext|> b", "", " ", "\n\n a"]
     texts += [f"a{chr(c)}{chr(c)}b {chr(c)}!{chr(c)} 1" for c in range(1, 0x3100)]
+    texts += [" ".join(rng.choice(["word,", "é.", "don't", "Straße!", "ñ", "x;y", "a.b.", "ﬁ,", "世界。", "naïve", "'s", "ll.", "<|endoftext|>.", "\nline", "\n\n", "\n", "", "ǅ:", "ʰ!"]) for _ in range(12)) for _ in range(3000)]
     want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == want
 
