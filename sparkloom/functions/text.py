@@ -12,8 +12,9 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Field names of the query language that cqlkeywords and cqlfields know.
+# Field names of the query language that cqlkeywords leaves out, and those that cqlfields finds.
 CQL_FIELDS = ("title", "subject", "person", "enter", "creator", "isbn")
+CQL_FOUND = ("title", "isbn", "issn", "subject", "creator", "language", "type")
 #: Years, as textreferences counts them.
 YEAR = r"(\b|_)(1[5-9]\d{2}|20\d{2})(\b|_)"
 
@@ -64,7 +65,7 @@ def cqlkeywords(*texts) -> Column:
 def cqlfields(*texts) -> Column:
     """The field names that `all` follows."""
     plain = lambda t: F.regexp_replace(F.lower(t), java(r"[^a-z]"), " ")
-    return _each(texts, lambda t: F.array_join(F.regexp_extract_all(plain(t), F.lit(java(rf"({'|'.join(CQL_FIELDS)}|language)\sall")), F.lit(1)), " "))
+    return _each(texts, lambda t: F.array_join(F.regexp_extract_all(plain(t), F.lit(java(rf"({'|'.join(CQL_FOUND)})\sall")), F.lit(1)), " "))
 
 
 def kwnum(*texts) -> Column:
@@ -208,16 +209,22 @@ def written_literal(value: Column, quoted: bool) -> Column:
     return F.concat(F.lit("u'"), escaped, F.lit("'"))
 
 
-def _hash_input(values: tuple, quoted: bool) -> Column:
-    return F.concat_ws("\x1e", *[written_literal(col(v), quoted) for v in values])
+def _hash_input(values: tuple, quoted: bool | None) -> Column:
+    def one(v: Column) -> Column:
+        if quoted is not None:
+            return written_literal(v, quoted)
+        # the type is known when the plan is made, so this is folded away
+        return F.when(F.typeof(v).isin("string"), written_literal(v.cast("string"), True)).otherwise(v.cast("string"))
 
+    return F.concat_ws("\x1e", *[one(col(v)) for v in values])
 
-def hashmd5(*values, quoted: bool = False) -> Column:
-    """MD5 of the values; `quoted` for texts, so that '5' and 5 differ."""
+
+def hashmd5(*values, quoted: bool | None = None) -> Column:
+    """MD5 of the values, texts written as quoted literals, so that '5' and 5 differ; `quoted` says it for all values instead of their types."""
     return F.md5(_hash_input(values, quoted))
 
 
-def hashmd5mod(*values, divisor: int, quoted: bool = False) -> Column:
+def hashmd5mod(*values, divisor: int, quoted: bool | None = None) -> Column:
     """The MD5 as a 128-bit number, modulo `divisor` (below 2^31): eight 16-bit digits folded."""
     digest, out = hashmd5(*values, quoted=quoted), F.lit(0).cast("long")
     for i in range(8):
@@ -225,7 +232,7 @@ def hashmd5mod(*values, divisor: int, quoted: bool = False) -> Column:
     return out
 
 
-def crc32(*values, quoted: bool = False) -> Column:
+def crc32(*values, quoted: bool | None = None) -> Column:
     return F.crc32(F.encode(_hash_input(values, quoted), "UTF-8"))
 
 

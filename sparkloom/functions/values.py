@@ -58,10 +58,21 @@ def datestrf2isoweek(text) -> Column:
     return F.when(F.right(t, F.lit(2)) == "00", F.concat((year - 1).cast("string"), F.lit("W53"))).otherwise(t)
 
 
+# Date forms that date2iso reads, after the zone has been taken off.
+_DATE_FORMS = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS]", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyyMMdd'T'HHmmss", "yyyyMMdd", "yyyy-MM", "yyyy", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "dd/MMM/yyyy:HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "d MMM yyyy HH:mm:ss", "d MMM yyyy", "d MMMM yyyy", "MMM d HH:mm:ss yyyy", "MMM d, yyyy", "MMMM d, yyyy")
+
+
 def date2iso(date) -> Column:
-    """ISO text of a date in one of the usual forms; NULL for others."""
-    forms = ("yyyy-MM-dd'T'HH:mm:ss[.SSS][XXX]", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy")
-    return F.date_format(F.coalesce(*[F.try_to_timestamp(col(date), F.lit(f)) for f in forms]), "yyyy-MM-dd'T'HH:mm:ss")
+    """ISO text, with the zone written in the date or +00:00, of a date in one of the usual forms; NULL for others. yyyyWww is the first of January and ww - 1 weeks."""
+    text = F.regexp_replace(F.trim(col(date)), r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,? +", "")
+    timed = text.rlike(r"\d:?\d\d(:?\d\d(\.\d+)?)? ?(Z|GMT|UTC|[+-]\d\d:?\d\d)$")
+    zone = F.regexp_extract(text, r"([+-]\d\d):?(\d\d)$", 0)
+    offset = F.when(timed & (zone != ""), F.concat(F.substring(zone, 1, 3), F.lit(":"), F.right(zone, F.lit(2)))).otherwise("+00:00")
+    bare = F.when(timed, F.regexp_replace(text, r" ?(Z|GMT|UTC|[+-]\d\d:?\d\d)$", "")).otherwise(text)
+    week = F.regexp_extract(text, r"^(\d{4})-?W(\d\d)$", 1), F.regexp_extract(text, r"^(\d{4})-?W(\d\d)$", 2)
+    first = F.date_add(F.make_date(week[0].try_cast("int"), F.lit(1), F.lit(1)), (week[1].try_cast("int") - 1) * 7).cast("timestamp_ntz")
+    parsed = F.coalesce(first, *[F.call_function("try_to_timestamp", bare, F.lit(f)).cast("timestamp_ntz") for f in _DATE_FORMS])
+    return F.concat(F.date_format(parsed, "yyyy-MM-dd'T'HH:mm:ss"), offset)
 
 
 def tzconverter(ts, offset: str) -> Column:
@@ -367,13 +378,13 @@ def ip_prefix(ip, k: int | None = None) -> Column:
 
 def apachelogsplit(line) -> Column:
     """A struct of a combined-format log line's fields; '-' gives NULL, and so does a line of another form."""
-    pattern = r'^(\S+) (\S+) (\S+) \[([^\]]+)\] "(\S+) ?(\S*) ?([^"]*)" (\d+|-) (\d+|-)(?: "([^"]*)" "([^"]*)")?.*$'
+    pattern = r'^(\S+) (\S+) (\S+) \[([^\]]+)\] "(\S+) ?(\S*) ?(?:HTTP/)?([^"]*)" (\d+|-)(?: (\d+|-))?(?: "([^"]*)")?(?: "([^"]*)")?.*$'
     g = lambda i: F.regexp_extract(col(line), pattern, i)
     null = lambda c: F.when(~c.isin("-", ""), c)
     date = F.try_to_timestamp(F.substring(g(4), 1, 20), F.lit("dd/MMM/yyyy:HH:mm:ss"))
     names = ("ip", "ident", "authuser", None, "method", "uri", "httpver", None, None, "referrer", "useragent")
     made = [null(g(i)).alias(n) for i, n in enumerate(names, 1) if n]
-    made[3:3] = [F.concat(F.date_format(date, "yyyy-MM-dd'T'HH:mm:ss"), F.substring(g(4), F.lit(22), F.lit(6))).alias("date")]
+    made[3:3] = [F.concat(F.date_format(date, "yyyy-MM-dd'T'HH:mm:ss"), F.trim(F.substring(g(4), F.lit(22), F.lit(6)))).alias("date")]
     made[7:7] = [g(8).try_cast("int").alias("status"), g(9).try_cast("long").alias("bytes")]
     return F.when(col(line).rlike(pattern), F.struct(*made))
 

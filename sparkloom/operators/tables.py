@@ -156,29 +156,47 @@ def hidden(df: DataFrame) -> DataFrame:
     return df.limit(0)
 
 
-def rowidvt(df: DataFrame, order: list[str]) -> DataFrame:
-    """df with rowid, 1-based in `order`. Ranges are sorted in parallel and each row adds its range's offset: no single task sees all."""
+def _laid(df: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """df's rows in ranges of `order` with _pid (range) and _at (place in it), written once so that every later reader sees the same ranges, and (_pid, _off, _total): the rows before each range, and all."""
+    marked = df.repartitionByRange(*order, F.rand(1)).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    placed = marked.select(*[F.col(f"`{c}`") for c in df.columns], F.shiftright("_m", 33).cast("int").alias("_pid"), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
+    laid = _written(placed)
+    # one row per range: as many as tasks wrote
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = laid.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    steps = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
+    return laid, steps
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the folder that all machines share; it goes when the session's JVM ends."""
+    import uuid
+
     spark = df.sparkSession
-    shape = T.StructType([*df.schema.fields, T.StructField("_pid", T.IntegerType()), T.StructField("_at", T.LongType())])
-    laid = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
-    marked = laid.select(*df.columns, F.shiftright("_m", 33).cast("int").alias("_pid"), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
-    # one row per range on the driver
-    sizes = sorted(marked.groupBy("_pid").count().collect())
-    offsets, total = [], 0
-    for pid, n in sizes:
-        offsets.append((pid, total))
-        total += n
-    steps = spark.createDataFrame(offsets, "_pid int, _off long")
-    assert shape.names == marked.columns
-    return marked.join(F.broadcast(steps), "_pid").select((F.col("_at") + F.col("_off") + 1).alias("rowid"), *df.columns)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{_shared_folder(spark)}/laid-{uuid.uuid4().hex}")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    names = [f"c{i}" for i in range(len(df.columns))]
+    df.toDF(*names).write.parquet(f"{path.toString()}/data")
+    return spark.read.parquet(f"{path.toString()}/data").toDF(*df.columns)
+
+
+def rowidvt(df: DataFrame, order: list[str]) -> DataFrame:
+    """df with rowid, 1-based in `order`; equal rows of `order` get theirs in any order.
+
+    Ranges are sorted in parallel and written once; each row adds its range's offset. No single task
+    sees all rows, and a value that very many rows share is dealt to many ranges.
+    """
+    laid, steps = _laid(df, order)
+    return laid.join(steps, "_pid").select((F.col("_at") + F.col("_off") + 1).alias("rowid"), *[F.col(f"`{c}`") for c in df.columns])
 
 
 def slidingwindow(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """Rows of window k (wid) are the last n up to row k, both from 0."""
-    numbered_ = rowidvt(df, order)
-    total = df.count()
-    at = F.col("rowid") - 1
-    return numbered_.select(F.explode(F.sequence(at, F.least(at + n - 1, F.lit(total - 1)))).alias("wid"), *df.columns)
+    laid, steps = _laid(df, order)
+    at = F.col("_at") + F.col("_off")
+    return laid.join(steps, "_pid").select(F.explode(F.sequence(at, F.least(at + n - 1, F.col("_total") - 1))).alias("wid"), *[F.col(f"`{c}`") for c in df.columns])
 
 
 def timeslidingwindow(df: DataFrame, by: list[str], ts: str, seconds: float) -> DataFrame:
@@ -295,7 +313,7 @@ def freqitemsets(df: DataFrame, row: str, item: str, threshold: int, maxlen: int
     return reduce(DataFrame.unionByName, out)
 
 
-def _checkpoint_dir(spark: SparkSession) -> None:
+def _shared_folder(spark: SparkSession) -> str:
     """The session's own setting, else - in a local session - a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     master = spark.sparkContext.master
@@ -304,8 +322,12 @@ def _checkpoint_dir(spark: SparkSession) -> None:
     if not named:
         import tempfile
 
-        named = tempfile.mkdtemp(prefix="sparkloom-")
-    spark.sparkContext.setCheckpointDir(named)
+        named = f"file://{tempfile.gettempdir()}/sparkloom-{spark.sparkContext.applicationId}"
+    return named.rstrip("/")
+
+
+def _checkpoint_dir(spark: SparkSession) -> None:
+    spark.sparkContext.setCheckpointDir(_shared_folder(spark))
 
 
 def graphcliques(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -317,9 +339,16 @@ def graphcliques(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     e = edges.select(F.least(a, b).cast("string").alias("u"), F.greatest(a, b).cast("string").alias("v")).where("u <> v").distinct()
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    # edges between neighbours of x, by way of each edge's smaller end
-    around = both.select(F.col("u").alias("x"), F.col("v").alias("p")).join(e.select(F.col("u").alias("p"), F.col("v").alias("q")), "p")
-    inner = around.join(both.select(F.col("u").alias("x"), F.col("v").alias("q")), ["x", "q"]).select("x", "p", "q")
+    # edges between neighbours of x: triangles, each found once from its end of least degree, so that a
+    # node of d neighbours gives wedges over its neighbours of higher degree alone, about sqrt(edges) of them
+    degree = both.groupBy("u").agg(F.count(F.lit(1)).alias("d"))
+    from_, to = degree.select(F.col("u"), F.struct("d", "u").alias("ku")), degree.select(F.col("u").alias("v"), F.struct("d", "u").alias("kv"))
+    up = _written(both.join(from_, "u").join(to, "v").where("ku < kv").select("u", "v", "kv"))
+    other = up.select("u", F.col("v").alias("w"), F.col("kv").alias("kw"))
+    wedges = up.join(other, "u").where("kv < kw").select("u", "v", "w")
+    triangles = wedges.join(up.select(F.col("u").alias("v"), F.col("v").alias("w")), ["v", "w"])
+    corners = F.array(*[F.struct(F.col(x).alias("x"), F.least(p, q).alias("p"), F.greatest(p, q).alias("q")) for x, p, q in (("u", "v", "w"), ("v", "u", "w"), ("w", "u", "v"))])
+    inner = triangles.select(F.inline(corners))
 
     def run(key, part):
         import pandas as pd
@@ -358,6 +387,18 @@ def graphcliques(edges: DataFrame, a: str, b: str) -> DataFrame:
     return named.select((F.col("rowid") - 1).alias("cliqueid"), F.explode("members").alias("nodeid"))
 
 
+def _rounds(degrees: list[int]) -> int:
+    """Half the least of four bounds of a graph's diameter by its degrees (order and maximum, inverse degree, degree sequence); none for a single node."""
+    import math
+
+    n, kinds = len(degrees), len(set(degrees))
+    if n < 2:
+        return 0
+    inverse = (3 * sum(1 / d for d in degrees) + 3) * math.log(n) / math.log(math.log(n)) if n > 16 else n
+    least = int(min(n - max(2, max(degrees)) + 2, inverse, 1 + 3 * (n - kinds + 1) / (min(degrees) + 1), n - kinds + 2)) // 2
+    return least if least >= 0 else n // -least
+
+
 def graphpowerhash(edges: DataFrame, by: list[str], a: str, b: str, steps: int | None = None, directed: bool = True) -> DataFrame:
     """(by, hash): a JSON list of sorted node hashes, equal for isomorphic graphs of `by`. A graph is worked on by one task: for many small graphs."""
     out = T.StructType([*[edges.schema[c] for c in by], T.StructField("hash", T.StringType())])
@@ -375,9 +416,9 @@ def graphpowerhash(edges: DataFrame, by: list[str], a: str, b: str, steps: int |
             near.setdefault(v, []).append((u, "0" if directed else "1"))
         digest = lambda s: hashlib.md5(s).digest()
         state = {n: digest(f"{len(near[n])}\x1f\x1e".encode()) for n in near}
-        for _ in range(max(1, len(near) // 2) if steps is None else steps):
-            state = {n: digest(f"{len(near[n])}\x1f\x1e\x1e".encode() + b"\x1e".join(sorted(state[m] + b"\x1d" + t.encode() for m, t in near[n]))) for n in near}
-        made = json.dumps(sorted(base64.b64encode(h).decode().rstrip("=") for h in state.values()))
+        for _ in range(_rounds([len(x) for x in near.values()]) if steps is None else steps if len(near) > 1 else 0):
+            state = {n: digest(f"{len(near[n])}\x1f\x1e".encode() + b"\x1e".join(sorted(state[m] + b"\x1d" + t.encode() for m, t in near[n]))) for n in near}
+        made = json.dumps([base64.b64encode(h).decode().rstrip("=") for h in sorted(state.values())], separators=(",", ":"))
         return pd.DataFrame([(*key, made)], columns=out.names)
 
     return edges.groupBy(*by).applyInPandas(run, out)

@@ -16,7 +16,7 @@ FUNCTIONS: dict[str, tuple[str, str, str]] = {
     "keywords": ("t STRING", "STRING", r"array_join(filter(regexp_extract_all(t, r'(?U)[\d.]+\b|\w+|\$[\d.]+', 0), x -> x <> '.'), ' ')"),
     "regexprmatches": ("p STRING, t STRING", "BOOLEAN", "t RLIKE p"),
     "regexpcountuniquematches": ("p STRING, t STRING", "BIGINT", "CAST(size(array_distinct(regexp_extract_all(t, p, 0))) AS BIGINT)"),
-    "hashmd5": ("t STRING", "STRING", "md5(CAST(t AS BINARY))"),
+    "hashmd5": ("t STRING", "STRING", "md5(CAST(concat('u', chr(39), replace(replace(replace(t, chr(92), concat(chr(92), chr(92))), chr(10), concat(chr(92), 'n')), chr(39), concat(chr(92), chr(39))), chr(39)) AS BINARY))"),
     "jlen": ("j STRING", "BIGINT", "CAST(coalesce(json_array_length(j), CASE WHEN j <> '' THEN 1 ELSE 0 END) AS BIGINT)"),
     "s2j": ("t STRING", "ARRAY<STRING>", "filter(split(t, ' ', -1), x -> x <> '')"),
     "t2j": ("t STRING", "ARRAY<STRING>", "split(t, chr(9), -1)"),

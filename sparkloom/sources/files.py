@@ -17,7 +17,8 @@ def file(spark: SparkSession, path: str, delimiter: str | None = None, header: b
 
     'NULL' in any case is NULL. Lines of another width than the names raise (strict 1), are dropped
     (0), or are all that is returned, as (foundcols, expectedcols, contents) (-1). Compressed files
-    are read by their extension. One plan serves all three, so nothing is read twice but the header.
+    are read by their extension. With `header` each file's first line is left out; the first file's names
+    the columns. One plan serves all three, so nothing is read twice but the header.
     """
     lines = spark.read.option("encoding", encoding).text(path)
     if delimiter is None:
@@ -26,8 +27,9 @@ def file(spark: SparkSession, path: str, delimiter: str | None = None, header: b
         first = lines.first()
         cells = [] if first is None else spark.createDataFrame([first], "value string").select(strsplitv("value", delimiter)).first()[0]
         names = names or (cells if header else [f"C{i + 1}" for i in range(len(cells))])
-        if header:
-            lines = lines.where(F.col("value") != F.lit(first[0])) if first is not None else lines
+        if header and first is not None:
+            # the reader drops the first line of every file, and no other line like it
+            lines = spark.read.schema("value string").options(header="true", sep="\x01", quote="", escape="", nullValue="\x02", emptyValue="", encoding=encoding).csv(path)
     cut = lines.select("value", strsplitv("value", delimiter).alias("c"))
     good = F.size("c") == len(names)
     if strict < 0:
@@ -144,7 +146,7 @@ def xmlparse(df: DataFrame, text: str, schema: str, strict: int = 1) -> DataFram
 
 
 class SqliteSource(DataSource):
-    """spark.read.format("sqlite").option("db", path).option("query", sql): a query of a SQLite file, read by rowid ranges where `partitions` is given."""
+    """spark.read.format("sqlite").option("db", path).option("query", sql): a query of a SQLite file, run once by one task."""
 
     @classmethod
     def name(cls) -> str:
@@ -165,19 +167,18 @@ class SqliteSource(DataSource):
 
 class SqliteReader(DataSourceReader):
     def __init__(self, options, kinds):
-        self.db, self.query, self.n, self.kinds = options["db"], options["query"], int(options.get("partitions", "1")), kinds
+        self.db, self.query, self.kinds = options["db"], options["query"], kinds
 
     def partitions(self):
-        return [InputPartition(i) for i in range(self.n)]
+        return [InputPartition(0)]
 
     def read(self, partition) -> Iterator[tuple]:
         import sqlite3
 
         make = {"bigint": lambda v: int(v), "double": float, "binary": bytes}
         with sqlite3.connect(f"file:{self.db}?mode=ro", uri=True) as c:
-            for i, row in enumerate(c.execute(self.query)):
-                if i % self.n == partition.value:
-                    yield tuple(None if v is None else make.get(k, str)(v) for v, k in zip(row, self.kinds, strict=True))
+            for row in c.execute(self.query):
+                yield tuple(None if v is None else make.get(k, str)(v) for v, k in zip(row, self.kinds, strict=True))
 
 
 def sqlite(spark: SparkSession, db: str, query: str) -> DataFrame:
