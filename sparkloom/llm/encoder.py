@@ -20,8 +20,8 @@ _WHITE = re.compile(f"[{_SPACE}]+")
 _SEGMENT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 #: A blank or line end that follows other white space; without any, segments begin at each of the two.
 _RUN = re.compile(f"[{_SPACE}][ \\n]")
-#: Segments that a worker remembers, twice over, and their characters: 200 MB at most, for texts with and without runs.
-SEGMENTS, SEGMENT_CHARS = 400_000, 8_000_000
+#: Segments that a worker remembers, twice over, and their characters: 150 MB at most, for texts with and without runs.
+SEGMENTS, SEGMENT_CHARS = 300_000, 6_000_000
 #: Tokens on either side of a join that are encoded again at first.
 WINDOW = 4
 

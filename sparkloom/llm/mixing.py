@@ -140,7 +140,8 @@ def _taken(laid: DataFrame, sources: DataFrame, slots: DataFrame, block: int) ->
     ranked = laid.where("size > 0").join(sources.select("rank", F.col("source").alias("_s")), F.col("source").eqNullSafe(F.col("_s")))
     pieces = ranked.select("rank", "start", F.col("size"), F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
     words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    times = slots.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
+    # the planner takes slots for as small as the sources that they are made from; they grow with the corpus and are never broadcast
+    times = slots.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times")).hint("merge")
     met = pieces.select("rank", "start", "block", words.alias("words")).join(times, ["rank", "block"])
     return met.groupBy("rank", "start").agg(F.sum(F.col("words") * F.col("times")).cast("long").alias("taken"), F.collect_list(F.struct("block", "times")).alias("drawn"))
 
