@@ -47,6 +47,7 @@ def encode(df: DataFrame, keep: list[str], text: str = "text", path: str | None
             for at in range(0, batch.num_rows, _STEP):
                 part = batch.slice(at, _STEP)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.encode(part.column(1).to_pylist()), pa.binary())], names=["row", "ids"])
+        own.forget()
 
     short = plain.where(F.length("text") <= leaf).mapInArrow(direct, schema)
     every = short.unionByName(_tree(plain.where(F.length("text") > leaf), row, path, leaf, fan))
@@ -91,6 +92,7 @@ def _tree(df: DataFrame, row: T.StructType, path: str, leaf: int, fan: int) -> D
                 head = [len(x) // 4 if on else 0 for x, on in zip(ids, part.column(5).to_pylist(), strict=True)]
                 tail = [len(x) // 4 if on else 0 for x, on in zip(ids, part.column(6).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(ids, pa.binary()), pa.array(head, pa.int64()), pa.array(tail, pa.int64())], schema=node_schema)
+        own.forget()
 
     def level(table):
         import pyarrow as pa

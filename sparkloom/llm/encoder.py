@@ -20,8 +20,10 @@ _WHITE = re.compile(f"[{_SPACE}]+")
 _SEGMENT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 #: A blank or line end that follows other white space; without any, segments begin at each of the two.
 _RUN = re.compile(f"[{_SPACE}][ \\n]")
-#: Segments that a worker remembers, twice over, and their characters: 150 MB at most, for texts with and without runs.
-SEGMENTS, SEGMENT_CHARS = 300_000, 6_000_000
+#: Segments that a worker remembers, twice over, for texts with and without runs: about 25 MB at most.
+SEGMENTS = 60_000
+#: Mean characters of a segment beyond which fewer are remembered.
+SEGMENT_CHARS = 20
 #: Tokens on either side of a join that are encoded again at first.
 WINDOW = 4
 
@@ -62,10 +64,11 @@ class _Seen(dict):
         ids = self.older.get(segment)
         if ids is None:
             ids = self._made(segment)
-        if len(self) >= SEGMENTS or self.chars + len(segment) > SEGMENT_CHARS:
+        most = self.own.segments
+        if len(self) >= most or self.chars + len(segment) > most * SEGMENT_CHARS:
             self.older, self.chars = dict(self), 0
             self.clear()
-        if len(segment) <= SEGMENT_CHARS:
+        if len(segment) <= most * SEGMENT_CHARS:
             self[segment] = ids
             self.chars += len(segment)
         return ids
@@ -97,6 +100,7 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.segments = SEGMENTS
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -124,6 +128,12 @@ class Encoder:
     def plain(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
+    def forget(self) -> None:
+        """Drop the remembered segments: the worker may next serve an operator that needs the memory."""
+        for seen in (self._seen, self._after_blank):
+            seen.clear()
+            seen.older, seen.chars = {}, 0
+
     def encoded(self, text: str) -> bytes:
         return array("I", self.plain(text)).tobytes()
 

@@ -27,6 +27,8 @@ END = 0
 END_BYTES = struct.pack("<I", END)
 _CHUNK = 512
 _HEAD = struct.Struct("<QI")
+#: Segments that a writing worker remembers: about 200 MB at most.
+SEGMENTS = 400_000
 #: Documents that a reading task takes from a file at a time.
 READ_DOCS = 4096
 
@@ -127,6 +129,7 @@ def write_records(df: DataFrame, out: str, text: str = "text", path: str | None
         from pyspark import TaskContext
 
         own, task = encoder(path), TaskContext.get()
+        own.segments = SEGMENTS
         store, folder = fs.FileSystem.from_uri(out)
         name, data, index = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.rec", None, None
         at = n_docs = n_tokens = 0
