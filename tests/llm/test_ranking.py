@@ -77,3 +77,35 @@ def test_repeated_ids_do_not_pass_the_bound(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
     scored, model = rank(docs, labels, labelled=10)
     assert scored.count() == 2001
+
+
+def test_fit_is_least_over_all_pairs():
+    """The slope of the loss over every pair, by plain loops, is nothing at the fitted weights."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(900, N_FEATURES))
+    y = (x[:, 0] - x[:, 1] + 0.3 * rng.normal(size=900) > 0.5).astype(int)
+    model = fit(x, y)
+    z = np.clip((x - model.mean) / model.scale, -8, 8)
+    good, bad = z[y == 1], z[y == 0]
+    pull = 1 / (1 + np.exp((good @ model.weights)[None, :] - (bad @ model.weights)[:, None]))
+    slope = sum(p @ (b - good) for p, b in zip(pull, bad)) / pull.size + 1e-3 * model.weights
+    assert np.abs(slope).max() < 1e-6
+
+
+def test_fit_sees_every_labelled_row(spark):
+    """More labelled rows than any sample was allowed, ids and labels repeated: the same as the fit of arrays that hold each row once per label."""
+    docs = spark.range(30_000).selectExpr("id - id % 7 % 2 AS doc_id", "concat(repeat(concat('word', id % 13, IF(id % 3 = 0, '. ', ' # ')), CAST(1 + id % 11 AS INT)), IF(id < 300, 'A B! C', 'x')) AS text")
+    labels = spark.range(30_100).selectExpr("id AS doc_id", "CAST(id % 3 = 0 OR id % 17 = 1 AS INT) AS quality")
+    labels = labels.unionAll(labels.where("doc_id % 50 = 0")).unionAll(spark.createDataFrame([(4, 1), (4, 0), (4, None), (None, 1)], "doc_id long, quality int"))
+    scored, model = rank(docs, labels)
+    text: dict = {}
+    for r in docs.collect():
+        text.setdefault(r["doc_id"], []).append(np.float32(features(r["text"])).astype(float))
+    seen = [(v, r["quality"]) for r in labels.collect() if r["quality"] in (0, 1) and r["doc_id"] in text and zlib.crc32(str(r["doc_id"]).encode()) % 5 for v in text[r["doc_id"]]]
+    x, y = np.array([v for v, _ in seen]), np.array([q for _, q in seen])
+    assert len(x) > 20_000
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, x.std(axis=0) + 1e-6)
+    want = fit(x, y)
+    assert np.allclose(model.weights, want.weights, atol=1e-5) and model.quantile == want.quantile
+    assert np.isclose(model.threshold, np.quantile(model.rating(x), model.quantile), atol=1e-9)
+    assert scored.count() == 30_000
