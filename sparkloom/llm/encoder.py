@@ -20,6 +20,8 @@ _WHITE = re.compile(f"[{_SPACE}]+")
 _SEGMENT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 #: A blank or line end that follows other white space; without any, segments begin at each of the two.
 _RUN = re.compile(f"[{_SPACE}][ \\n]")
+#: White space other than blanks and line ends; in ASCII only the first four.
+_RARE = "\t\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Segments that a worker remembers, twice over, for texts with and without runs: about 25 MB at most.
 SEGMENTS = 60_000
 #: Mean characters of a segment beyond which fewer are remembered.
@@ -78,16 +80,48 @@ class _Seen(dict):
             # the commonest case: bytes are their own letters
             return array("I", [t.id for t in self.model.tokenize(self.lead + segment)]).tobytes()
         blank, word = (True, segment) if self.blank and segment[:1] != "\n" else (segment[:1] == " ", segment.removeprefix(" "))
-        if self.own.letters and word and word[-1] in _STOPS and _plain(word[:-1]):
-            # letters and a stop are two pretokens
-            return self[segment[:-1]] + self.own.stops[word[-1]]
-        if self.own.letters and _plain(word):
+        if not self.own.letters:
+            return self.own.encoded(" " * blank + word)
+        letters = word.rstrip(_SIGNS)
+        if letters != word and _plain(letters.removeprefix("\n")):
+            # letters and the signs after them are two pretokens
+            signs = word[len(letters) :]
+            head = segment[: -len(signs)]
+            return (self.get(head) or self.older.get(head) or self._made(head)) + self.own.signs[signs]
+        if _plain(word):
             # letters, with the blank before them, are one pretoken
-            return array("I", [t.id for t in self.model.tokenize(self.own.letters[32] * blank + word.encode().decode("latin-1").translate(self.own.letters))]).tobytes()
+            return self._letters(self.own.letters[32] * blank, word)
+        if word[:1] == "\n" and not blank and _plain(word[1:]):
+            # a line end and the letters after it are two
+            return self.own.signs["\n"] + self._letters("", word[1:])
         return self.own.encoded(" " * blank + word)
 
+    def _letters(self, lead: str, word: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(lead + word.encode().decode("latin-1").translate(self.own.letters))]).tobytes()
 
-_STOPS = ".,;:!?"
+
+class _Signs(dict):
+    """Signs, or a line end -> ids; as many are remembered as there are short ones in common use."""
+
+    def __init__(self, own: Encoder):
+        self.own = own
+
+    def __missing__(self, signs: str) -> bytes:
+        ids = self.own.encoded(signs)
+        if len(signs) <= 4 and len(self) < 4096:
+            self[signs] = ids
+        return ids
+
+
+#: ASCII signs that make one pretoken with those beside them, whatever letters stand before; the apostrophe does not.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _runs(text: str) -> bool:
+    """Whether _RUN is found, by searches for single characters first."""
+    if "  " in text or "\n\n" in text or "\n " in text or " \n" in text:
+        return True
+    return any(c in text for c in (_RARE[:4] if text.isascii() else _RARE)) and bool(_RUN.search(text))
 
 
 def _plain(word: str) -> bool:
@@ -112,11 +146,11 @@ class Encoder:
         split = kind["pre_tokenizer"] or {}
         usual = not kind["normalizer"] and kind["model"]["type"] == "BPE" and not kind["model"]["dropout"] and split.get("type") == "ByteLevel" and not split["add_prefix_space"] and split["use_regex"]
         #: byte -> letter where a pretoken may be given to the library's model directly, else nothing
-        self.letters = {b: c for c, b in _byte_letters().items()} if usual and not any(s.strip(_STOPS).isalpha() for s in self.special) else {}
+        self.letters = {b: c for c, b in _byte_letters().items()} if usual and not any(s.strip(".,;:!?").isalpha() or not (t := s.rstrip(_SIGNS)) or t.isalpha() for s in self.special) else {}
         self._white_special = any(_WHITE.search(s) for s in self.special)
 
         self._seen, self._after_blank = _Seen(self, False), _Seen(self, True)
-        self.stops = {c: self.encoded(c) for c in _STOPS}
+        self.signs = _Signs(self)
 
     @property
     def token_bytes(self) -> dict[int, bytes]:
@@ -144,10 +178,11 @@ class Encoder:
         return [self._segments(t) for t in texts]
 
     def _segments(self, text: str) -> bytes:
-        if _RUN.search(text):
+        if _runs(text):
             return b"".join(map(self._seen.__getitem__, _SEGMENT.findall(text)))
         first, *rest = text.replace("\n", " \n").split(" ")
-        return self.encoded(first) + b"".join(map(self._after_blank.__getitem__, rest))
+        begun = self._seen._made(first) if self.letters and _plain(first) else self.encoded(first)
+        return begun + b"".join(map(self._after_blank.__getitem__, rest))
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tok.decode_batch(ids, skip_special_tokens=False)

@@ -34,8 +34,8 @@ READ_DOCS = 4096
 
 
 @cache
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """CRC-32C of one byte at each distance from a chunk's end, and the four-table operator that moves a state past a chunk."""
+def _tables() -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """CRC-32C of one byte at each distance from a chunk's end, where each distance begins in that table, and the four-table operator that moves a state past a chunk."""
     first = np.arange(256, dtype=np.uint32)
     for _ in range(8):
         first = np.where(first & 1, (first >> 1) ^ np.uint32(0x82F63B78), first >> 1)
@@ -49,7 +49,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
         for _ in range(_CHUNK):
             state = first[state & 0xFF] ^ (state >> 8)
         moved[k] = state
-    return at[::-1].ravel().copy(), moved
+    return at[::-1].ravel().copy(), np.arange(0, _CHUNK * 256, 256), moved.tolist()
 
 
 @cache
@@ -59,7 +59,7 @@ def _byte_table() -> list[int]:
 
 def crc32c(data: bytes) -> int:
     """CRC-32C (Castagnoli)."""
-    table, moved = _tables()
+    table, offsets, moved = _tables()
     raw = np.frombuffer(data, np.uint8)
     n = len(raw)
     if n < 32:
@@ -73,11 +73,10 @@ def crc32c(data: bytes) -> int:
     start = len(padded) - n
     padded[start:] = raw
     padded[start : start + 4] ^= 0xFF  # the initial state
-    offsets = np.tile(np.arange(0, _CHUNK * 256, 256, dtype=np.int32), rows)
-    parts = np.bitwise_xor.reduce(table[offsets + padded].reshape(rows, _CHUNK), axis=1).tolist()
+    parts = np.bitwise_xor.reduce(table.take(padded.reshape(rows, _CHUNK) + offsets), axis=1).tolist()
     state, (a, b, c, d) = 0, moved
     for x in parts:
-        state = int(a[state & 255] ^ b[state >> 8 & 255] ^ c[state >> 16 & 255] ^ d[state >> 24]) ^ x
+        state = a[state & 255] ^ b[state >> 8 & 255] ^ c[state >> 16 & 255] ^ d[state >> 24] ^ x
     return state ^ 0xFFFFFFFF
 
 

@@ -5,7 +5,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from sparkloom.llm._shared import workplace
-from sparkloom.llm.encoder import default_path
+from sparkloom.llm.encoder import _RUN, Encoder, _runs, default_path
 from sparkloom.llm.records import crc32c, frame, masked, read_records, unframe, write_records
 
 
@@ -63,3 +63,22 @@ def test_equal_ids_fill_no_single_file(spark):
     got = read_records(manifest).orderBy("start").collect()
     ids = [-1 if r["doc_id"] is None else r["doc_id"] for r in got]
     assert ids == sorted(ids) and [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:i]) for i in range(0, 200)] + [r["start"] for r in got[200:]]
+
+
+def test_letters_with_signs_or_line_ends_take_no_whole_call():
+    """New segments of letters, signs after them or a line end before them go to the model directly; signs alone are encoded once."""
+    own = Encoder(default_path())
+    asked, whole = [], own.plain
+    own.plain = lambda text: asked.append(text) or whole(text)
+    texts = ["Ein Wort### zwei$$$ drei, vier... \u00e9t\u00e9) f\u00fcnf,", "sechs\nsieben\nacht### neun% zehn,"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [whole(t) for t in texts]
+    assert sorted(asked) == sorted(["###", "$$$", ",", "...", ")", "%", "\n"])
+
+
+def test_encoding_of_odd_texts_is_the_library_s():
+    rng = np.random.default_rng(5)
+    parts = [*"a\u00e9\u00df\u4e16\u0418 \n\t\r\x85\x1c\u00a0\u2009\u3000'\u2019_-~`1\u01c5\u00aa\u00b5\u0301", " ", " ", "Word", "word", "###", "...", ",", "'s", "<|endoftext|>", "<|", "|>"]
+    own = Encoder(default_path())
+    texts = ["".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(20_000)]
+    assert [x.tolist() for x in map(lambda b: np.frombuffer(b, "<u4"), own.encode(texts))] == [own.plain(t) for t in texts]
+    assert all(_runs(t) == bool(_RUN.search(t)) for t in texts)
