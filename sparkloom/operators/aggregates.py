@@ -149,10 +149,12 @@ def jgroup(*columns, order) -> Column:
 
 
 def jdictgroup(key, value, order) -> Column:
-    """A map; the later of equal keys wins."""
-    pairs = _ordered(F.struct(col(key).alias("k"), col(value).alias("v")), order)
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+    """A map; the later of equal keys wins, a NULL key is left out. Holds a group's rows; the operator of this name in tables.py holds its distinct keys alone."""
+    sorted_ = F.array_sort(F.collect_list(F.when(col(key).isNotNull(), F.struct(col(key).alias("k"), col(order).alias("o"), col(value).alias("v")))))
+    # an array of the one array binds it to a name: in a lambda its expression would be worked out for every element
+    last = F.get(F.transform(F.array(sorted_), lambda a: F.filter(a, lambda p, i: ~F.coalesce(F.get(a, i + 1)["k"] == p["k"], F.lit(False)))), 0)
+    ordered = F.array_sort(F.transform(last, lambda p: F.struct(p["o"], p["k"], p["v"])))
+    return F.map_from_entries(F.transform(ordered, lambda p: F.struct(p["k"], p["v"])))
 
 
 def jgroupunion(pack, order) -> Column:

@@ -131,6 +131,15 @@ def jdictgroupunion(df: DataFrame, by: list[str], text: str) -> DataFrame:
     return pairs.groupBy(*by, "key").agg(F.max(size).cast("long").alias("size"))
 
 
+def jdictgroup(df: DataFrame, by: list[str], key: str, value: str, order: str, name: str = "dict") -> DataFrame:
+    """(by, name): a map of each group, the later of equal keys wins, keys in the order of their last rows. A task holds a group's distinct keys, not its rows; a NULL key is left out."""
+    at = F.struct(F.col(order).alias("o"), F.col(value).alias("v"))
+    last = df.groupBy(*by, F.col(key).alias("_k")).agg(F.max(at).alias("_at"))
+    entry = F.when(F.col("_k").isNotNull(), F.struct("_at", "_k"))
+    entries = F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.struct(e["_k"], e["_at"]["v"]))
+    return last.groupBy(*by).agg(F.map_from_entries(entries).alias(name))
+
+
 def samplegroup(df: DataFrame, by: list[str], n: int, seed: int = 0) -> DataFrame:
     """n random rows a group."""
     return ontop(df.withColumn("_u", F.rand(seed)), by, n, [F.col("_u")], [c for c in df.columns if c not in by]).select(*df.columns)
