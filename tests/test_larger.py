@@ -19,3 +19,15 @@ def test_dictionaries_of_big_groups(spark):
             want[i % 2][f"k{i % 300}"] = None if i % 11 == 0 else i
     assert {r["g"]: r["dict"] for r in R.jdictgroup(df, ["g"], "k", "v", "o").collect()} == want
     assert {r["g"]: r["d"] for r in df.groupBy("g").agg(A.jdictgroup("k", "v", "o").alias("d")).collect()} == want
+
+
+def test_texts_without_terms_agree_with_sql(spark, tmp_path):
+    texts = ["", " ", "   ", "a", " a ", "\t", ".", ".. a", "$5. b", "a\nb a", None, "é"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = sorted(con.execute(f"SELECT doc_id, kwnum, n_unique, keywords_md5 FROM ({SQL['txt_terms']})").fetchall())
+    got = QUERIES["txt_terms"](spark, str(tmp_path)).select("doc_id", "kwnum", "n_unique", "keywords_md5")
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 10
+
+
