@@ -208,6 +208,36 @@ def slidingwindow(df: DataFrame, order: list[str], n: int) -> DataFrame:
     return laid.join(steps, "_pid").select(F.explode(F.sequence(at, F.least(at + n - 1, F.col("_total") - 1))).alias("wid"), *[F.col(f"`{c}`") for c in df.columns])
 
 
+def _in_groups(df: DataFrame, by: list[str], order: list[Column], run, out: T.StructType) -> DataFrame:
+    """What run(rows, starts) yields over whole groups, many at a time: an Arrow table, each group's rows in `order`, and where its groups begin. A task holds a batch of rows, or the one group that is larger."""
+    first = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) == 1
+
+    def each(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def begins(x):
+            return np.flatnonzero(np.asarray(x.column("_first").to_pylist(), dtype=bool))
+
+        def over(held):
+            rows = pa.Table.from_batches(held).combine_chunks()
+            for made in run(rows, begins(rows)):
+                yield from made.select(out.names).combine_chunks().to_batches()
+
+        held: list = []
+        for batch in batches:
+            starts = begins(batch)
+            if not len(starts) or (last := int(starts[-1])) == 0 and not held:
+                held.append(batch)
+                continue
+            yield from over([*held, batch.slice(0, last)])
+            held = [batch.slice(last)]
+        if held:
+            yield from over(held)
+
+    return df.withColumn("_first", first).mapInArrow(each, out)
+
+
 def timeslidingwindow(df: DataFrame, by: list[str], ts: str, seconds: float) -> DataFrame:
     """Windows of rows at most `seconds` apart, a new one (wid) whenever a row falls past the end of the last; rows after the last such row's window are dropped unless it is window 0. A group is worked on by one task."""
     out = T.StructType([T.StructField("wid", T.LongType()), *df.schema.fields])
@@ -412,25 +442,41 @@ def graphpowerhash(edges: DataFrame, by: list[str], a: str, b: str, steps: int |
     """(by, hash): a JSON list of sorted node hashes, equal for isomorphic graphs of `by`. A graph is worked on by one task: for many small graphs."""
     out = T.StructType([*[edges.schema[c] for c in by], T.StructField("hash", T.StringType())])
 
-    def run(key, part):
+    def hashed(form: tuple) -> str:
         import base64
         import hashlib
         import json
 
-        import pandas as pd
-
         near: dict = {}
-        for u, v in zip(part[a], part[b], strict=True):
-            near.setdefault(u, []).append((v, "1"))
-            near.setdefault(v, []).append((u, "0" if directed else "1"))
+        for u, v in zip(form[::2], form[1::2], strict=True):
+            near.setdefault(u, []).append((v, b"\x1d1"))
+            near.setdefault(v, []).append((u, b"\x1d0" if directed else b"\x1d1"))
         digest = lambda s: hashlib.md5(s).digest()
-        state = {n: digest(f"{len(near[n])}\x1f\x1e".encode()) for n in near}
+        begin = {n: f"{len(x)}\x1f\x1e".encode() for n, x in near.items()}
+        state = {n: digest(x) for n, x in begin.items()}
         for _ in range(_rounds([len(x) for x in near.values()]) if steps is None else steps if len(near) > 1 else 0):
-            state = {n: digest(f"{len(near[n])}\x1f\x1e".encode() + b"\x1e".join(sorted(state[m] + b"\x1d" + t.encode() for m, t in near[n]))) for n in near}
-        made = json.dumps([base64.b64encode(h).decode().rstrip("=") for h in sorted(state.values())], separators=(",", ":"))
-        return pd.DataFrame([(*key, made)], columns=out.names)
-
-    return edges.groupBy(*by).applyInPandas(run, out)
+            state = {n: digest(begin[n] + b"\x1e".join(sorted(state[m] + t for m, t in x))) for n, x in near.items()}
+        return json.dumps([base64.b64encode(h).decode().rstrip("=") for h in sorted(state.values())], separators=(",", ":"))
+
+    # the hash depends on the form alone, nodes numbered as they come: small graphs often have the same
+    known: dict = {}
+
+    def run(rows, starts):
+        import pyarrow as pa
+
+        names = [x for pair in zip(rows.column(a).to_pylist(), rows.column(b).to_pylist(), strict=True) for x in pair]
+        made = []
+        for i, z in zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows], strict=True):
+            number: dict = {}
+            form = tuple([number.setdefault(x, len(number)) for x in names[2 * i : 2 * z]])
+            if (h := known.get(form)) is None:
+                h = hashed(form)
+                if len(form) <= 64 and len(known) < 50_000:
+                    known[form] = h
+            made.append(h)
+        yield rows.take(pa.array(starts)).select(by).append_column("hash", pa.array(made, pa.string()))
+
+    return _in_groups(edges.select(*dict.fromkeys([*by, a, b])), by, [F.col(a), F.col(b)], run, out)
 
 
 def unindexed(df: DataFrame) -> DataFrame:

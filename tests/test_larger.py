@@ -1,5 +1,7 @@
 """Cases of larger or odder tables: dictionaries of big groups, texts without terms, windows, graphs and item sets."""
 
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
@@ -31,3 +33,16 @@ def test_texts_without_terms_agree_with_sql(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == want and len(want) == 10
 
 
+def test_power_hashes_of_many_graphs(spark):
+    # 3,000 graphs in few forms, one of 12,000 edges, nodes that are NULL: alike where isomorphic; the plan gives no graph a call of its own
+    rng = random.Random(6)
+    forms = [[("a", "b")], [("a", "b"), ("b", "c")], [("a", "b"), ("c", "b")], [("a", "a"), (None, "a")], [("a", "b"), ("a", "b")]]
+    rows = []
+    for g in range(3000):
+        nodes = dict(zip("abc", rng.sample("pqrstu", 3), strict=True)) | {None: None}
+        rows += [(g, nodes[u], nodes[v]) for u, v in rng.sample(forms[g % 5], len(forms[g % 5]))]
+    rows += [(3000, f"x{i}", f"x{i + 1}") for i in range(12_000)]
+    made = R.graphpowerhash(spark.createDataFrame(rows, "g int, a string, b string"), ["g"], "a", "b", 2)
+    assert "FlatMapGroups" not in made._jdf.queryExecution().toString()
+    got = {r["g"]: r["hash"] for r in made.collect()}
+    assert len(got) == 3001 and len(set(got.values())) == 6 and all(got[g] == got[g % 5] for g in range(3000))
