@@ -241,28 +241,39 @@ def _in_groups(df: DataFrame, by: list[str], order: list[Column], run, out: T.St
 def timeslidingwindow(df: DataFrame, by: list[str], ts: str, seconds: float) -> DataFrame:
     """Windows of rows at most `seconds` apart, a new one (wid) whenever a row falls past the end of the last; rows after the last such row's window are dropped unless it is window 0. A group is worked on by one task."""
     out = T.StructType([T.StructField("wid", T.LongType()), *df.schema.fields])
+    span = int(seconds * 1_000_000 // 1)
 
-    def run(part):
-        import pandas as pd
+    def run(rows, starts):
+        import numpy as np
+        import pyarrow as pa
 
-        part = part.sort_values(ts, kind="stable").reset_index(drop=True)
-        times = part[ts].astype("datetime64[us]").astype("int64").tolist()
-        pieces, head, wid, sealed = [], 0, 0, True
-        for i, t in enumerate(times):
-            if t <= times[head] + seconds * 1e6:
-                continue
-            if wid == 0:
-                pieces.append(part.iloc[head:i].assign(wid=0))
-            while head < i and t > times[head] + seconds * 1e6:
-                head += 1
-            wid += 1
-            pieces.append(part.iloc[head : i + 1].assign(wid=wid))
-            sealed = False
-        if sealed:
-            pieces.append(part.assign(wid=0))
-        return pd.concat(pieces)[out.names]
-
-    return df.groupBy(*by).applyInPandas(run, out)
+        times = rows.column("_t").combine_chunks()
+        known, micros = np.asarray(times.is_valid()), np.asarray(times.fill_null(0))
+        low, high, number = [], [], []
+        for a, z in zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows], strict=True):
+            t = micros[a : a + int(known[a:z].sum())]  # NULL times come last and fall past no end
+            # by row: the first row past the end of a window that it begins, and the first row of the window that it ends
+            past, head = np.searchsorted(t, t + span, "right").tolist(), np.searchsorted(t, t - span).tolist()
+            at, wid = past[0] if past else 0, 0
+            low.append(a)
+            high.append(a + at if at < len(t) else z)
+            number.append(0)
+            while at < len(t):
+                wid += 1
+                low.append(a + head[at])
+                high.append(a + at + 1)
+                number.append(wid)
+                at = past[head[at]]
+        low, number = np.array(low), np.array(number)
+        size = np.array(high) - low
+        end = np.cumsum(size)
+        for a in range(0, int(end[-1]), 100_000):
+            place = np.arange(a, min(a + 100_000, int(end[-1])))
+            w = np.searchsorted(end, place, "right")
+            yield rows.take(pa.array(low[w] + place - end[w] + size[w])).append_column("wid", pa.array(number[w], pa.int64()))
+
+    timed = df.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
+    return _in_groups(timed, by, [F.col("_t").asc_nulls_last()], run, out)
 
 
 def toeav(df: DataFrame, entity: str) -> DataFrame:

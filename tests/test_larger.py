@@ -33,6 +33,36 @@ def test_texts_without_terms_agree_with_sql(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == want and len(want) == 10
 
 
+def windows(times, seconds):
+    """(wid, places) by the definition, row after row."""
+    out, head, wid = [], 0, 0
+    for i, t in enumerate(times):
+        if t is None or t <= times[head] + seconds:
+            continue
+        if wid == 0:
+            out += [(0, j) for j in range(head, i)]
+        while head < i and t > times[head] + seconds:
+            head += 1
+        wid += 1
+        out += [(wid, j) for j in range(head, i + 1)]
+    return out or [(0, j) for j in range(len(times))]
+
+
+def test_time_windows_of_many_groups(spark):
+    # groups over many Arrow batches, one of them larger than a batch, NULL keys and times; the plan gives no group a call of its own
+    rng = random.Random(5)
+    groups = {g: sorted(rng.sample(range(4000), rng.randint(1, 40))) for g in [None, *range(900)]} | {1000: sorted(rng.sample(range(400_000), 12_500)), 1001: [0, 5, None], 1002: [None], 1003: [0, 500, None]}
+    rows = [(g, i, t) for g, times in groups.items() for i, t in enumerate(times)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g int, i int, t int").select("g", "i", F.timestamp_seconds("t").alias("ts"))
+    made = R.timeslidingwindow(df, ["g"], "ts", 300)
+    assert "FlatMapGroups" not in made._jdf.queryExecution().toString()
+    got: dict = {}
+    for r in made.collect():
+        got.setdefault(r["g"], []).append((r["wid"], r["i"]))
+    assert {g: sorted(x) for g, x in got.items()} == {g: windows(times, 300) for g, times in groups.items()}
+
+
 def test_power_hashes_of_many_graphs(spark):
     # 3,000 graphs in few forms, one of 12,000 edges, nodes that are NULL: alike where isomorphic; the plan gives no graph a call of its own
     rng = random.Random(6)
