@@ -5,6 +5,7 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
+from sparkloom.functions import text as X
 from sparkloom.operators import aggregates as A
 from sparkloom.operators import tables as R
 from sparkloom.suite import load
@@ -76,3 +77,17 @@ def test_power_hashes_of_many_graphs(spark):
     assert "FlatMapGroups" not in made._jdf.queryExecution().toString()
     got = {r["g"]: r["hash"] for r in made.collect()}
     assert len(got) == 3001 and len(set(got.values())) == 6 and all(got[g] == got[g % 5] for g in range(3000))
+
+
+def sizes_of_batches(made):
+    """How the plan sends rows to Python: by Arrow batches of 10,000 rows, however long their texts, or by 100."""
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    return [x for x in ("ArrowEvalPython", "BatchEvalPython") if x in plan]
+
+
+def test_references_go_to_python_by_few_rows(spark):
+    texts = [None, "", "a\r\nb", "\n".join(f"line number {i} of the text, {1900 + i}" for i in range(30))]
+    made = spark.createDataFrame([(x,) for x in texts], "t string").select("t", X.textreferences("t").alias("r"))
+    assert sizes_of_batches(made) == ["BatchEvalPython"]
+    got = dict(map(tuple, made.collect()))
+    assert got[None] is None and got[""] == "" and got["a\r\nb"] == "a\nb" and "number 9 " not in got[texts[3]] and got[texts[3]].endswith("1929")
