@@ -1,6 +1,7 @@
 """Cases of larger or odder tables: dictionaries of big groups, texts without terms, windows, graphs and item sets."""
 
 import random
+import unicodedata
 
 import duckdb
 from pyspark.sql import functions as F
@@ -91,3 +92,11 @@ def test_references_go_to_python_by_few_rows(spark):
     assert sizes_of_batches(made) == ["BatchEvalPython"]
     got = dict(map(tuple, made.collect()))
     assert got[None] is None and got[""] == "" and got["a\r\nb"] == "a\nb" and "number 9 " not in got[texts[3]] and got[texts[3]].endswith("1929")
+
+
+def test_unicode_goes_to_python_by_few_rows(spark):
+    texts = [None, "", "tab\t\\ \\u00e9", "é é 中 \U0001f600 \x00\x7f"]
+    made = spark.createDataFrame([(x,) for x in texts], "t string").select("t", X.unitosuni("t").alias("s"), X.sunitouni(X.unitosuni("t")).alias("b"), X.normuni("t").alias("n"), X.sunitouni(F.lit("\\u12")).alias("broken"))
+    assert sizes_of_batches(made) == ["BatchEvalPython"]
+    want = [(t, None, None, None, "\\u12") if t is None else (t, t.encode("unicode_escape").decode(), t, unicodedata.normalize("NFC", t), "\\u12") for t in texts]
+    assert list(map(tuple, made.collect())) == want
