@@ -6,6 +6,7 @@ rows are cut by a ranking that Spark applies before the shuffle too, and everyth
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from functools import reduce
 from itertools import count
 
@@ -340,26 +341,51 @@ def range_join(points: DataFrame, point: str, intervals: DataFrame, low: str, hi
     return met.where((F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))).drop("_bucket")
 
 
+#: Rows that a shuffle gives to one task, about: what a task sorts or counts stays below some 100 MB.
+TASK_ROWS = 150_000
+
+
+@contextmanager
+def _partitions(spark: SparkSession, rows: int):
+    """How many partitions `rows` need; shuffles run inside have so many at least, then the session's own setting holds again."""
+    key = "spark.sql.shuffle.partitions"
+    before, n = spark.conf.get(key), rows // TASK_ROWS + 1
+    try:
+        spark.conf.set(key, max(int(before), n))
+        yield n
+    finally:
+        spark.conf.set(key, before)
+
+
 def freqitemsets(df: DataFrame, row: str, item: str, threshold: int, maxlen: int | None = None) -> DataFrame:
     """(items, itemset_length, itemset_frequency): sets of items that share at least `threshold` rows, level by level up to `maxlen`, without one to the longest.
 
     Level l extends the frequent sets of level l - 1 by a larger frequent item of the same row and
     counts those whose last pair is frequent too; each level is written to storage by checkpoint().
+    Each level is shuffled into partitions by its number of rows, known before, so that tasks don't grow.
     """
-    if not df.sparkSession.sparkContext.getCheckpointDir():
-        _checkpoint_dir(df.sparkSession)
-    rows = df.select(F.col(row).alias("row"), F.col(item).cast("string").alias("item")).where("item <> ''").distinct()
-    single = rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= threshold)
-    rows = rows.join(single.select("item"), "item").checkpoint()
-    level = rows.select("row", F.array("item").alias("items"), F.col("item").alias("last"))
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        _checkpoint_dir(spark)
+    given = df.select(F.col(row).alias("row"), F.col(item).cast("string").alias("item")).where("item <> ''")
+    with _partitions(spark, given.count()) as n:
+        rows = given.repartition(n, "row").distinct()
+        single = rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= threshold).checkpoint()
+        # after: the larger items of the row, which the next level extends a set by
+        after = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("item"))) - 1
+        rows = rows.join(single.select("item"), "item").repartition(n, "row").withColumn("after", after).checkpoint()
+    level = rows.select("row", F.array("item").alias("items"), F.col("item").alias("last"), "after")
     out = [single.select(F.array("item").alias("items"), F.lit(1).alias("itemset_length"), F.col("n").alias("itemset_frequency"))]
     for size in count(2) if maxlen is None else range(2, maxlen + 1):
-        longer = level.join(rows, "row").where(F.col("item") > F.col("last")).select("row", F.concat("items", F.array("item")).alias("items"), F.col("item").alias("last"))
-        counted = longer.groupBy("items").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= threshold)
-        level = longer.join(counted.select("items"), "items").checkpoint()
-        if level.isEmpty():
-            break
-        out.append(counted.select("items", F.lit(size).alias("itemset_length"), F.col("n").alias("itemset_frequency")))
+        with _partitions(spark, level.agg(F.coalesce(F.sum("after"), F.lit(0))).first()[0]) as n:
+            begun = level.select("row", "items", "last").where("after > 0").repartition(n, "row")
+            longer = begun.join(rows.repartition(n, "row"), "row").where(F.col("item") > F.col("last")).select("row", F.concat("items", F.array("item")).alias("items"), F.col("item").alias("last"), "after")
+            counted = longer.groupBy("items").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= threshold).checkpoint()
+            if counted.isEmpty():
+                break
+            out.append(counted.select("items", F.lit(size).alias("itemset_length"), F.col("n").alias("itemset_frequency")))
+            if size != maxlen:
+                level = longer.join(counted.select("items"), "items").checkpoint()
     return reduce(DataFrame.unionByName, out)
 
 

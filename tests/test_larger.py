@@ -100,3 +100,22 @@ def test_unicode_goes_to_python_by_few_rows(spark):
     assert sizes_of_batches(made) == ["BatchEvalPython"]
     want = [(t, None, None, None, "\\u12") if t is None else (t, t.encode("unicode_escape").decode(), t, unicodedata.normalize("NFC", t), "\\u12") for t in texts]
     assert list(map(tuple, made.collect())) == want
+
+
+def test_itemsets_are_shuffled_by_their_rows(spark, monkeypatch):
+    # each level is laid out by the number of its rows, which is known before it is made; the setting comes back
+    monkeypatch.setattr(R, "TASK_ROWS", 100)
+    seen, made = [], R._partitions
+
+    def watched(s, rows):
+        seen.append(rows)
+        return made(s, rows)
+
+    monkeypatch.setattr(R, "_partitions", watched)
+    baskets = spark.range(1000).selectExpr("id AS o", "explode(array('a', 'b', 'c', 'd' || id)) AS i")
+    got = {tuple(r["items"]): (r["itemset_length"], r["itemset_frequency"]) for r in R.freqitemsets(baskets, "o", "i", 1000).collect()}
+    assert got == {tuple(x): (len(x), 1000) for x in ("a", "b", "c", "ab", "ac", "bc", "abc")}
+    assert seen == [4000, 3000, 1000, 0] and spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    assert R.freqitemsets(baskets, "o", "i", 1000, 2).count() == 6
+
+
