@@ -119,3 +119,30 @@ def test_itemsets_are_shuffled_by_their_rows(spark, monkeypatch):
     assert R.freqitemsets(baskets, "o", "i", 1000, 2).count() == 6
 
 
+def test_cliques_by_blocks_of_edges(spark, monkeypatch):
+    # several blocks, names and numbers alike; no wedge is shuffled, so the plan of triangles has no join
+    monkeypatch.setattr(R, "BLOCK_EDGES", 300)
+    rng = random.Random(7)
+    edges = [(u, v) for u in range(60) for v in range(u) if rng.random() < 0.4] + [(100, n) for n in range(60)] + [(100 + 3 * i + j, 100 + 3 * i + k) for i in range(300) for j, k in ((1, 2), (1, 3), (2, 3))]
+    df = spark.createDataFrame(edges + edges[:9] + [(5, 5), (None, 3)], "a long, b long")
+    near: dict = {}
+    for u, v in edges:
+        near.setdefault(u, set()).add(v)
+        near.setdefault(v, set()).add(u)
+    want, stack = set(), [(frozenset(), frozenset(near), frozenset())]
+    while stack:
+        r, p, x = stack.pop()
+        if not p and not x and len(r) > 2:
+            want.add(tuple(sorted(map(str, r))))
+        for n in list(p):
+            stack.append((r | {n}, p & near[n], x & near[n]))
+            p, x = p - {n}, x | {n}
+    for given in (df, df.select(*[F.col(c).cast("string").alias(c) for c in "ab"]), df.select(F.col("a") - 200, F.col("b") - 200).toDF("a", "b")):
+        low = -200 if given.dtypes[0][1] == "bigint" and given.agg(F.min("a")).first()[0] < 0 else 0
+        got: dict = {}
+        for r in R.graphcliques(given, "a", "b").collect():
+            got.setdefault(r["cliqueid"], []).append(r["nodeid"])
+        # numbered in the order of their sorted members
+        assert [tuple(sorted(got[i])) for i in range(len(got))] == sorted(tuple(sorted(str(int(m) + low) for m in c)) for c in want)
+    inner = R._triangles(df.selectExpr("CAST(least(a, b) AS INT) AS u", "CAST(greatest(a, b) AS INT) AS v").where("u < v").distinct())
+    assert "Join" not in inner._jdf.queryExecution().optimizedPlan().toString()
